@@ -25,6 +25,8 @@ ERROR_CATEGORIES = (
 # Days before and after today shown by the weekly series.
 WEEKS_BACK_DAYS = 182
 WEEKS_AHEAD_DAYS = 30
+# A limited panel up to this many rows is sent to the tables that complete it.
+MAX_ROWS_SENT = 10_000
 # Display names of the validity states.
 VALIDITY_NAMES = {
     "vigente": "Vigente hoy",
@@ -46,18 +48,15 @@ def count_where(condition: Column) -> Column:
 
 # -- provenance ------------------------------------------------------------------------
 
-def attach_page_number(rows: DataFrame, star: Star) -> DataFrame:
-    """Adds ``numero_pagina`` to a short list of rows and cleans the source address.
+def attach_page_number(rows: DataFrame, star: Star, few: bool = False) -> DataFrame:
+    """Adds ``numero_pagina`` and cleans the source address.
 
-    ``rows`` comes from a limited panel, so its page ids are few by construction; they
-    reduce the page table before it is joined and the row count never changes.
+    Every extraction has its page.  ``few`` is for rows cut by a small limit: they are
+    sent to the page table, which then needs no shuffle.
     """
-    wanted = rows.select("pagina_id").distinct()
-    pages = (
-        star.paginas.select(F.col("id").alias("pagina_id"), "numero_pagina")
-        .join(wanted, "pagina_id", "left_semi")
-    )
-    return rows.join(pages, "pagina_id", "left").withColumn("url_origen", safe_url(F.col("url_origen")))
+    pages = star.paginas.select(F.col("id").alias("pagina_id"), "numero_pagina")
+    joined = pages.join(F.broadcast(rows), "pagina_id") if few else rows.join(pages, "pagina_id", "left")
+    return joined.withColumn("url_origen", safe_url(F.col("url_origen")))
 
 
 def provenance(ids: DataFrame, star: Star) -> DataFrame:
@@ -105,7 +104,8 @@ def current_prices(star: Star, stores=None, categories=None, start=None, end=Non
     kept = top.select("id", "tienda", "producto", "categoria", "precio_actual", "precio_anterior",
                       "descuento_pct", "vigencia_desde", "vigencia_hasta", "confianza_ocr", "pagina_id",
                       "folleto_id", "folleto_id_fuente", "folleto_titulo", "url_origen")
-    return promos.attach_campaigns(attach_page_number(kept, star), star.eventos_promo)
+    few = limit <= MAX_ROWS_SENT
+    return promos.attach_campaigns(attach_page_number(kept, star, few), star.eventos_promo)
 
 
 def price_comparison(star: Star, categories=None, text=None, min_stores: int = 1, with_category=None,
