@@ -61,7 +61,7 @@ def parse_date(c: Column) -> Column:
 def parse_timestamp(c: Column) -> Column:
     """ISO timestamp or date; anything else is NULL."""
     iso = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$")
-    return F.when(iso, F.expr("try_cast(NULL AS timestamp_ntz)") if c is None else c.try_cast("timestamp_ntz"))
+    return F.when(iso, c.try_cast("timestamp_ntz"))
 
 
 def page_number(c: Column) -> Column:
@@ -75,13 +75,13 @@ def display_name(slug: Column) -> Column:
 
 
 def compact_slug(c: Column) -> Column:
-    """Only letters and digits of the lower-cased text."""
-    return F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
+    """Only the letters and digits of the folded text."""
+    return F.regexp_replace(fold(c), r"[^a-z0-9]", "")
 
 
 def folder_slug(c: Column) -> Column:
-    """Accent-free lower case with one underscore per run of other characters."""
-    return F.regexp_replace(F.regexp_replace(fold(c), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    """Folded text with one underscore per run of spaces."""
+    return F.regexp_replace(F.trim(fold(c)), r"\s+", "_")
 
 
 def hash_order(*parts: Column) -> Column:
