@@ -668,3 +668,25 @@ def unused_names(star: Star) -> DataFrame:
     """Canonical names that no extraction uses."""
     used = star.extracciones.select(F.col("producto_canonico_id").alias("id")).filter("id IS NOT NULL").distinct()
     return star.productos_canonicos.join(used, "id", "left_anti")
+
+
+def mark_blocks(blocks: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
+    """Text blocks that coincide with a named box of a record.
+
+    ``boxes`` has the page keys, ``registro``, ``caja`` (price or product) and a box;
+    the result lists the positions of the blocks per record and box.
+    """
+    from ..operators.spatial import boxes_meeting
+    b = blocks.select(*page, "bloque", *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "ancho", "alto")])
+    x, y, w, h = (F.col(c) for c in ("x", "y", "ancho", "alto"))
+    ox, oy, ow, oh = (F.col(f"o_{c}") for c in ("x", "y", "ancho", "alto"))
+    near = boxes_meeting(boxes.select(*page, "registro", "caja", "x", "y", "ancho", "alto"), b, page,
+                         (x, y, x + w, y + h), (ox, oy, ox + ow, oy + oh))
+    same = geometry.boxes_coincide(("o_x", "o_y", "o_ancho", "o_alto"), ("x", "y", "ancho", "alto"))
+    return near.filter(same).groupBy(*page, "registro", "caja").agg(
+        F.sort_array(F.collect_list("bloque")).alias("bloques"))
+
+
+def reading_order(blocks: DataFrame, page: list[str], band: int = 20) -> DataFrame:
+    """Blocks by bands of height, then from left to right."""
+    return blocks.orderBy(*page, F.floor(F.col("y") / band), "x", "bloque")
