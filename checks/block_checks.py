@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from octavilla.functions import columns, geometry, names
 from octavilla.functions.names import KeywordCatalogue
+from octavilla.operators.cut import cut_lineage
 from octavilla.operators.medians import exact_median
 from octavilla.plans import association, evaluation, ingest, naming, panels, views
 from octavilla.plans.classification import classify
@@ -40,8 +41,14 @@ _VALUE = "TRY_CAST(nullif(regexp_extract(texto, '[0-9]+'), '') AS DOUBLE)"
 CELLS = {**BLOCKS, **{n: f"SELECT *, {_VALUE} AS valor FROM bloques WHERE bloque % 8 = {k}" for n, k in _SLOT.items()}}
 
 
-def _slot(spark, sf, name):
-    df = tpch_blocks.blocks(spark, sf).filter(F.col("bloque") % 8 == _SLOT[name])
+def _blocks(spark, sf):
+    """The blocks as a written table, since the operators read them several times."""
+    return cut_lineage(tpch_blocks.blocks(spark, sf))
+
+
+def _slot(spark, sf, name, blocks=None):
+    blocks = _blocks(spark, sf) if blocks is None else blocks
+    df = blocks.filter(F.col("bloque") % 8 == _SLOT[name])
     value = F.regexp_extract("texto", "[0-9]+", 0).try_cast("double")
     return df.withColumn("valor", value).withColumn("candidatos", F.array("valor"))
 
@@ -130,13 +137,15 @@ _PAIR = """SELECT p.pagina, p.bloque, a.bloque AS o_bloque, a.valor AS valor_ant
     AND (valor_anterior - valor) / valor_anterior BETWEEN 0.03 AND 0.5
     AND NOT coalesce(otro <> valor AND (valor_anterior - otro) / valor_anterior BETWEEN 0.03 AND 0.5, false)"""))
 def _(spark, sf):
-    pairs = association.previous_price_pairs(_slot(spark, sf, "precios"), _slot(spark, sf, "antes"), PAGE)
+    blocks = _blocks(spark, sf)
+    pairs = association.previous_price_pairs(_slot(spark, sf, "precios", blocks), _slot(spark, sf, "antes", blocks), PAGE)
     return pairs.withColumn("costo", columns.half_up(F.col("costo"), 6))
 
 
 @check("previous_prices")
 def _(spark, sf):
-    return association.match_previous_prices(_slot(spark, sf, "precios"), _slot(spark, sf, "antes"), PAGE)
+    blocks = _blocks(spark, sf)
+    return association.match_previous_prices(_slot(spark, sf, "precios", blocks), _slot(spark, sf, "antes", blocks), PAGE)
 
 
 _ALIGNED = """SELECT p.pagina, p.bloque, bool_or(n.y >= p.y - p.alto - 100 AND n.y < p.y) AS a,
@@ -148,14 +157,16 @@ _ALIGNED = """SELECT p.pagina, p.bloque, bool_or(n.y >= p.y - p.alto - 100 AND n
     """SELECT pagina, count(*) FILTER (WHERE a AND NOT b) AS solo_arriba, count(*) FILTER (WHERE b AND NOT a) AS solo_debajo,
     count(*) FILTER (WHERE a AND b) AS ambos FROM al GROUP BY 1"""))
 def _(spark, sf):
-    return association.aligned_neighbours(_slot(spark, sf, "precios"), _slot(spark, sf, "nombres"), PAGE)
+    blocks = _blocks(spark, sf)
+    return association.aligned_neighbours(_slot(spark, sf, "precios", blocks), _slot(spark, sf, "nombres", blocks), PAGE)
 
 
 @check("page_layouts", _with({**CELLS, "al": _ALIGNED, "c": """SELECT pagina, count(*) FILTER (WHERE a AND NOT b) AS u,
     count(*) FILTER (WHERE b AND NOT a) AS d, count(*) FILTER (WHERE a AND b) AS m FROM al GROUP BY 1"""},
     "SELECT pagina, d > u + m AS nombre_debajo, m >= 3 AND m > u + d AS reticula FROM c"))
 def _(spark, sf):
-    return association.page_layouts(_slot(spark, sf, "precios"), _slot(spark, sf, "nombres"), PAGE)
+    blocks = _blocks(spark, sf)
+    return association.page_layouts(_slot(spark, sf, "precios", blocks), _slot(spark, sf, "nombres", blocks), PAGE)
 
 
 _NEAR = """SELECT p.pagina, p.bloque, n.bloque AS o, abs(p.y - n.y) AS d, n.y >= p.y AS debajo,
@@ -169,7 +180,8 @@ _NEAR = """SELECT p.pagina, p.bloque, n.bloque AS o, abs(p.y - n.y) AS d, n.y >=
     """SELECT p.pagina, p.bloque, CASE WHEN NOT b.mejor[4] AND b.columna IS NOT NULL THEN b.columna[3] ELSE b.mejor[3] END AS producto
     FROM precios p LEFT JOIN best b USING (pagina, bloque)"""))
 def _(spark, sf):
-    prices, products = _slot(spark, sf, "precios"), _slot(spark, sf, "nombres")
+    blocks = _blocks(spark, sf)
+    prices, products = _slot(spark, sf, "precios", blocks), _slot(spark, sf, "nombres", blocks)
     plain = association.page_layouts(prices, products, PAGE).withColumns(
         {"nombre_debajo": F.lit(False), "reticula": F.lit(False)})
     return association.choose_by_distance(prices, products, PAGE, layouts=plain)
@@ -177,13 +189,15 @@ def _(spark, sf):
 
 @check("product_by_distance")
 def _(spark, sf):
-    return association.choose_by_distance(_slot(spark, sf, "precios"), _slot(spark, sf, "nombres"), PAGE)
+    blocks = _blocks(spark, sf)
+    return association.choose_by_distance(_slot(spark, sf, "precios", blocks), _slot(spark, sf, "nombres", blocks), PAGE)
 
 
 @check("product_above", _with(CELLS, """SELECT p.pagina, p.bloque, (SELECT min(ROW(p.y - n.y, n.bloque)) FROM nombres n
     WHERE n.pagina = p.pagina AND abs(n.x - p.x) <= 400 AND n.y < p.y)[2] AS producto FROM antes p"""))
 def _(spark, sf):
-    return association.choose_above(_slot(spark, sf, "antes"), _slot(spark, sf, "nombres"), PAGE)
+    blocks = _blocks(spark, sf)
+    return association.choose_above(_slot(spark, sf, "antes", blocks), _slot(spark, sf, "nombres", blocks), PAGE)
 
 
 @check("line_edges", _with(BLOCKS, """SELECT b.pagina, b.bloque, o.bloque AS o_bloque, b.y - (o.y + o.alto) AS hueco
@@ -477,9 +491,9 @@ def _(spark, sf):
 
 def _judged(spark, sf):
     """Records read from the cells and the articles that the line items say are there."""
-    cells = tpch_blocks.items(spark, sf)
-    names_ = _slot(spark, sf, "nombres").select("pagina", F.col("bloque").alias("nb"), F.col("texto").alias("producto"))
-    records = _slot(spark, sf, "precios").withColumn("nb", F.col("bloque") - 1).join(names_, ["pagina", "nb"]).select(
+    cells, blocks = cut_lineage(tpch_blocks.items(spark, sf)), _blocks(spark, sf)
+    names_ = _slot(spark, sf, "nombres", blocks).select("pagina", F.col("bloque").alias("nb"), F.col("texto").alias("producto"))
+    records = _slot(spark, sf, "precios", blocks).withColumn("nb", F.col("bloque") - 1).join(names_, ["pagina", "nb"]).select(
         "pagina", "tienda", F.col("bloque").alias("registro"), F.col("valor").alias("precio"), F.col("texto").alias("precio_texto"),
         "producto", F.col("producto").alias("producto_texto"), F.lit(None).cast("string").alias("categoria"),
         F.lit(None).cast("double").alias("precio_anterior"), "x", "y")
@@ -487,7 +501,7 @@ def _judged(spark, sf):
         "pagina", "tienda", F.col("pos").alias("id"), F.concat("nombre", F.lit(" "), "tipo_parte").alias("producto"),
         F.lit(None).cast("string").alias("categoria"), F.col("entero").cast("double").alias("precio"),
         F.lit(None).cast("double").alias("precio_anterior"))
-    return records, articles
+    return cut_lineage(records), articles
 
 
 @check("matched_records")

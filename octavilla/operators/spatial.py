@@ -12,26 +12,28 @@ from pyspark.sql import functions as F
 CELL = 256
 
 
-def _cells(lo: Column, hi: Column) -> Column:
-    return F.sequence(F.floor(lo / CELL).cast("int"), F.floor(F.greatest(lo, hi) / CELL).cast("int"))
+def _cells(lo: Column, hi: Column, cell: int) -> Column:
+    return F.sequence(F.floor(lo / cell).cast("int"), F.floor(F.greatest(lo, hi) / cell).cast("int"))
 
 
 def boxes_meeting(targets: DataFrame, others: DataFrame, page: list[str], rect: tuple[Column, Column, Column, Column],
-                  box: tuple[Column, Column, Column, Column]) -> DataFrame:
+                  box: tuple[Column, Column, Column, Column], cell: int = CELL) -> DataFrame:
     """Pairs whose rectangles (x0, y0, x1, y1) intersect, each pair once.
 
     Column names of the two sides must differ except for the page keys.  A pair that
     shares several cells is kept in the one that holds the corner of the intersection.
+    ``cell`` should be near the size of the rectangles: a small one repeats the target in
+    many cells, a large one lets distant boxes meet.
     """
     names = ("_x0", "_y0", "_x1", "_y1")
     a = targets.withColumns(dict(zip(names, rect)))
-    a = a.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"))))
-    a = a.withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"))))
+    a = a.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), cell)))
+    a = a.withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"), cell)))
     other_names = tuple(f"_o{n}" for n in names)
     b = others.withColumns(dict(zip(other_names, box)))
-    b = b.withColumn("_cx", F.explode(_cells(F.col("_o_x0"), F.col("_o_x1"))))
-    b = b.withColumn("_cy", F.explode(_cells(F.col("_o_y0"), F.col("_o_y1"))))
+    b = b.withColumn("_cx", F.explode(_cells(F.col("_o_x0"), F.col("_o_x1"), cell)))
+    b = b.withColumn("_cy", F.explode(_cells(F.col("_o_y0"), F.col("_o_y1"), cell)))
     left, top = F.greatest("_x0", "_o_x0"), F.greatest("_y0", "_o_y0")
     meets = (left <= F.least("_x1", "_o_x1")) & (top <= F.least("_y1", "_o_y1"))
-    corner = (F.floor(left / CELL) == F.col("_cx")) & (F.floor(top / CELL) == F.col("_cy"))
+    corner = (F.floor(left / cell) == F.col("_cx")) & (F.floor(top / cell) == F.col("_cy"))
     return a.join(b, [*page, "_cx", "_cy"]).filter(meets & corner).drop("_cx", "_cy", *names, *other_names)

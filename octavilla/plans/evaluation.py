@@ -58,33 +58,39 @@ def _near_cents(price: Column) -> Column:
 
 
 def word_pairs(a: DataFrame, b: DataFrame, page: list[str], a_id: str, b_id: str) -> DataFrame:
-    """(page, a_id, b_id) of rows that share a word or one like it.
+    """(page, a_id, b_id, similitud) of rows that share a word or one like it.
 
     Both frames have the word list ``_w``.  Like words are found once in the distinct
-    vocabulary; rows meet on (page, word).
+    vocabulary; rows meet on (page, word).  The similarity is the F1 of the words that
+    found a partner; repeated words count as often as they occur.
     """
-    ra = a.select(*page, a_id, F.explode(F.array_distinct("_w")).alias("wa"))
-    rb = b.select(*page, b_id, F.explode(F.array_distinct("_w")).alias("wb"))
+    def words(df: DataFrame, ident: str, name: str) -> DataFrame:
+        each = df.select(*page, ident, "_w", F.size("_w").alias(f"n_{name}"), F.explode(F.array_distinct("_w")).alias(name))
+        times = F.size(F.filter("_w", lambda w: w == F.col(name)))
+        return each.withColumn(f"m_{name}", F.struct(F.col(name).alias("w"), times.alias("m"))).drop("_w")
+
+    ra, rb = words(a, a_id, "wa"), words(b, b_id, "wb")
     like = fuzzy.similar_words(ra.select(F.col("wa").alias("w")), rb.select(F.col("wb").alias("w")))
-    return ra.join(like, "wa").join(rb, [*page, "wb"]).select(*page, a_id, b_id).distinct()
+    met = ra.join(like, "wa").join(rb, [*page, "wb"])
+    count = lambda c: F.aggregate(F.collect_set(c), F.lit(0), lambda t, s: t + s["m"]).cast("double")
+    sums = met.groupBy(*page, a_id, b_id).agg(
+        (count("m_wa") / F.first("n_wa")).alias("_p"), (count("m_wb") / F.first("n_wb")).alias("_q"))
+    return sums.select(*page, a_id, b_id, (2 * F.col("_p") * F.col("_q") / (F.col("_p") + F.col("_q"))).alias("similitud"))
 
 
 def candidate_pairs(records: DataFrame, articles: DataFrame, page: list[str]) -> DataFrame:
     """Pairs of equal price or similar name, with both facts and the score."""
     r = records.withColumn("_w", _words(F.col("producto"), F.col("tienda")))
     a = articles.withColumn("_w", _words(F.col("producto"), F.col("tienda")))
-    by_price = r.select(*page, "registro", _near_cents(F.col("precio")).alias("_c")).join(
-        a.select(*page, "id", _cents(F.col("precio")).alias("_c")), [*page, "_c"]).select(*page, "registro", "id")
-    pairs = by_price.unionByName(word_pairs(r, a, page, "registro", "id")).distinct()
-    left = r.select(*page, "registro", F.col("precio").alias("r_precio"), F.col("_w").alias("r_w"))
-    right = a.select(*page, "id", F.col("precio").alias("a_precio"), F.col("_w").alias("a_w"))
-    facts = pairs.join(left, [*page, "registro"]).join(right, [*page, "id"]).withColumns({
-        "precio_ok": same_cents(F.col("r_precio"), F.col("a_precio")),
-        "similitud": fuzzy.name_similarity_of(F.col("a_w"), F.col("r_w")),
-    })
+    key = [*page, "registro", "id"]
+    priced = r.select(*page, "registro", "precio", _near_cents(F.col("precio")).alias("_c")).join(
+        a.select(*page, "id", F.col("precio").alias("_price"), _cents(F.col("precio")).alias("_c")), [*page, "_c"])
+    priced = priced.filter(same_cents(F.col("precio"), F.col("_price"))).select(*key, F.lit(True).alias("precio_ok"))
+    pairs = word_pairs(r, a, page, "registro", "id").join(priced, key, "full_outer").withColumns({
+        "precio_ok": F.coalesce("precio_ok", F.lit(False)), "similitud": F.coalesce("similitud", F.lit(0.0))})
     score = PRICE_WEIGHT * F.col("precio_ok").cast("double") + NAME_WEIGHT * F.col("similitud")
-    return facts.filter(F.col("precio_ok") | (F.col("similitud") >= CANDIDATE_SIMILARITY)).select(
-        *page, "registro", "id", "precio_ok", "similitud", (-score).alias("_cost"))
+    return pairs.filter(F.col("precio_ok") | (F.col("similitud") >= CANDIDATE_SIMILARITY)).select(
+        *key, "precio_ok", "similitud", (-score).alias("_cost"))
 
 
 def match_records(records: DataFrame, articles: DataFrame, page: list[str]) -> DataFrame:
@@ -162,9 +168,8 @@ def leftover_records(records: DataFrame, articles: DataFrame, pairs: DataFrame,
     offers = promotions.select(*page, F.col("texto").alias("_p"), _words(F.col("texto")).alias("_w"))
     near = word_pairs(told.withColumn("_id", F.struct("registro", "_t")), offers.withColumn("_pid", F.col("_p")),
                       page, "_id", "_pid")
-    named = near.select(*page, F.col("_id.registro").alias("registro"), _words(F.col("_id._t")).alias("a"),
-                        _words(F.col("_pid")).alias("b")).filter(
-        fuzzy.name_similarity_of(F.col("b"), F.col("a")) >= PRODUCT_SIMILARITY).select(*key).distinct()
+    named = near.filter(F.col("similitud") >= PRODUCT_SIMILARITY).select(
+        *page, F.col("_id.registro").alias("registro")).distinct()
     good = pairs.filter("completo_ok").select(*page, _cents(F.col("r_precio")).alias("_c")).distinct()
     double = rest.select(*key, _near_cents(F.col("precio")).alias("_c")).join(good, [*page, "_c"], "left_semi").select(
         *key).distinct()
@@ -468,13 +473,15 @@ def split_flyers(articles: DataFrame, seed: str) -> DataFrame:
         F.count("id").alias("articulos"), F.count("precio_anterior").alias("antes"))
     stores = flyers.groupBy("tienda").agg(
         F.count(F.lit(1)).alias("n"), F.percentile("articulos", 0.5).alias("mediana"), F.max("antes").alias("_any"))
-    rows = flyers.join(stores, "tienda")
-    eligible = (F.col("_any") == 0) | (F.col("antes") > 0)
+    rows = flyers.join(stores, "tienda").filter((F.col("_any") == 0) | (F.col("antes") > 0))
     w = Window.partitionBy("tienda").orderBy(
-        (~eligible).cast("int"), F.abs(F.col("articulos") - F.col("mediana")), sha_order(F.lit(seed), F.col("folleto")))
-    wanted = F.when(F.col("n") >= 6, 2).otherwise(1)
-    held = (F.row_number().over(w) <= wanted) & eligible
-    return rows.withColumn("split", F.when(held, "holdout").otherwise("dev")).select("tienda", "folleto", "split")
+        F.abs(F.col("articulos") - F.col("mediana")), sha_order(F.lit(seed), F.col("folleto")))
+    # the literal limit lets each task keep two flyers per store before any shuffle
+    best = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
+    held = best.filter(F.col("_rn") <= F.when(F.col("n") >= 6, 2).otherwise(1)).select(
+        "tienda", "folleto", F.lit("holdout").alias("_s"))
+    return flyers.select("tienda", "folleto").join(held, ["tienda", "folleto"], "left").select(
+        "tienda", "folleto", F.coalesce("_s", F.lit("dev")).alias("split"))
 
 
 def quota_sample(cases: DataFrame, quotas: dict[str, int], key: str, seed: str) -> DataFrame:
@@ -484,7 +491,8 @@ def quota_sample(cases: DataFrame, quotas: dict[str, int], key: str, seed: str)
     most = max(quotas.values())
     rounds = cases.withColumn("vuelta", F.row_number().over(w)).filter(F.col("vuelta") <= most)
     order = Window.partitionBy("grupo").orderBy("vuelta", "tienda")
-    return rounds.withColumn("orden", F.row_number().over(order)).filter(F.col("orden") <= quota)
+    ranked = rounds.withColumn("orden", F.row_number().over(order)).filter(F.col("orden") <= most)
+    return ranked.filter(F.col("orden") <= quota)
 
 
 def agreement(sample: DataFrame, answers: DataFrame, unjudged: DataFrame) -> DataFrame:
@@ -621,12 +629,10 @@ def layout_catalogue(articles: DataFrame, prices: DataFrame, blocks: DataFrame,
     mine = priced.select(*key, _near_cents(F.col("precio")).alias("_c")).join(
         prices.filter("valor IS NOT NULL").select(*page, *box, F.col("bloque").alias("pb"), _cents(F.col("valor")).alias("_c")),
         [*page, "_c"])
-    lines = blocks.withColumn("_w", _words(F.col("texto")))
-    near = word_pairs(priced, lines.withColumnRenamed("bloque", "nb"), page, "id", "nb")
-    texts = near.join(priced.select(*key, "tienda", "_w"), key).join(
-        lines.select(*page, F.col("bloque").alias("nb"), F.col("texto").alias("_text"), *[F.col(c).alias(f"o_{c}") for c in box]),
-        [*page, "nb"])
-    texts = texts.withColumn("sim", fuzzy.name_similarity_of(F.col("_w"), _words(F.col("_text"), F.col("tienda"))))
+    stores = articles.select(*page, "tienda").distinct()
+    lines = blocks.join(stores, page).withColumn("_w", _words(F.col("texto"), F.col("tienda")))
+    near = word_pairs(priced, lines.withColumnRenamed("bloque", "nb"), page, "id", "nb").withColumnRenamed("similitud", "sim")
+    texts = near.join(lines.select(*page, F.col("bloque").alias("nb"), *[F.col(c).alias(f"o_{c}") for c in box]), [*page, "nb"])
     best = texts.groupBy(*key).agg(F.max("sim").alias("_best"))
     told = texts.join(best, key).filter((F.col("sim") >= CANDIDATE_SIMILARITY) & (F.col("sim") >= F.col("_best") - 0.1))
     dx = (F.col("x") + F.col("ancho") / 2) - (F.col("o_x") + F.col("o_ancho") / 2)

@@ -179,7 +179,7 @@ def page_facts(classified: DataFrame, page: list[str], normalize, regions: DataF
     blocks = cut_lineage(classified)
     shown = blocks.filter("tipo = 'PRODUCTO'").withColumn("texto", F.col("texto_norm"))
     names = cut_lineage(normalize(shown.select("texto").distinct()))
-    products = cut_lineage(accepted_products(shown, names, page, "bloque"))
+    products = cut_lineage(accepted_products(shown, names, page))
     prices = associate(blocks.withColumn("texto", F.col("texto_norm")), products, page, normalize, regions)
     attributes = blocks.filter("tipo = 'ATRIBUTO' AND x IS NOT NULL")
     owners = choose_above(attributes, products.filter("NOT ilegible"), page)
