@@ -630,7 +630,7 @@ def layout_catalogue(articles: DataFrame, prices: DataFrame, blocks: DataFrame,
         prices.filter("valor IS NOT NULL").select(*page, *box, F.col("bloque").alias("pb"), _cents(F.col("valor")).alias("_c")),
         [*page, "_c"])
     stores = articles.select(*page, "tienda").distinct()
-    lines = blocks.join(stores, page).withColumn("_w", _words(F.col("texto"), F.col("tienda")))
+    lines = blocks.drop("tienda").join(stores, page).withColumn("_w", _words(F.col("texto"), F.col("tienda")))
     near = word_pairs(priced, lines.withColumnRenamed("bloque", "nb"), page, "id", "nb").withColumnRenamed("similitud", "sim")
     texts = near.join(lines.select(*page, F.col("bloque").alias("nb"), *[F.col(c).alias(f"o_{c}") for c in box]), [*page, "nb"])
     best = texts.groupBy(*key).agg(F.max("sim").alias("_best"))
