@@ -752,3 +752,69 @@ def _(spark, sf):
     FROM paginas"""))
 def _(spark, sf):
     return star_of(spark, sf).paginas.select("id", columns.page_number(F.col("archivo_imagen")).alias("numero"))
+
+
+# -- cases of two runs ------------------------------------------------------------------------------------
+
+_CASES = {
+    "a": "SELECT CAST(id AS VARCHAR) AS clave, fuente AS tienda, categoria AS estado FROM errores_carga WHERE NOT resuelto",
+    "b": "SELECT CAST(id AS VARCHAR) AS clave, fuente AS tienda, CASE WHEN sqlstate IS NULL THEN 'ok' ELSE categoria END AS estado FROM errores_carga WHERE pagina IS NOT NULL",
+    "ch": """SELECT coalesce(a.clave, b.clave) AS clave, coalesce(b.tienda, a.tienda) AS tienda, coalesce(a.estado, 'no_existe') AS antes,
+        coalesce(b.estado, 'no_existe') AS despues FROM a FULL JOIN b USING (clave)
+        WHERE coalesce(a.estado, 'no_existe') <> coalesce(b.estado, 'no_existe')""",
+}
+
+
+def _case_runs(spark, sf):
+    log = star_of(spark, sf).errores_carga.withColumn("clave", F.col("id").cast("string")).withColumnRenamed("fuente", "tienda")
+    before = log.filter("NOT resuelto").select("clave", "tienda", F.col("categoria").alias("estado"))
+    after = log.filter("pagina IS NOT NULL").select(
+        "clave", "tienda", F.when(F.col("sqlstate").isNull(), "ok").otherwise(F.col("categoria")).alias("estado"))
+    return before, after
+
+
+@check("case_transitions", star_query("SELECT antes || ' -> ' || despues AS transicion, count(*) AS n FROM ch GROUP BY 1", **_CASES))
+def _(spark, sf):
+    return evaluation.transitions(evaluation.case_changes(*_case_runs(spark, sf), "no_existe"))
+
+
+@check("case_gains_and_losses", star_query("""SELECT tienda, count(*) FILTER (WHERE despues = 'ok') AS articulos_ganados,
+    count(*) FILTER (WHERE antes = 'ok') AS articulos_perdidos, count(*) FILTER (WHERE antes <> 'ok' AND despues <> 'ok') AS articulos_cambio_error,
+    count(*) FILTER (WHERE despues = 'ok') AS registros_ganados, count(*) FILTER (WHERE antes = 'ok') AS registros_perdidos,
+    count(*) FILTER (WHERE antes = 'no_existe' AND despues <> 'ok') AS registros_nuevos_mal FROM ch GROUP BY 1""", **_CASES))
+def _(spark, sf):
+    changes = evaluation.case_changes(*_case_runs(spark, sf), "no_existe")
+    return evaluation.change_summary(changes, changes)
+
+
+@check("error_examples", star_query("""SELECT clave, tienda, estado, rn FROM (SELECT *, row_number() OVER (PARTITION BY estado, tienda ORDER BY clave) AS rn
+    FROM b WHERE estado <> 'ok') x WHERE rn <= 10""", **_CASES))
+def _(spark, sf):
+    _, after = _case_runs(spark, sf)
+    return evaluation.error_examples(after).withColumn("rn", F.col("rn").cast("bigint"))
+
+
+@check("judge_agreement", """SELECT count(*) FILTER (WHERE d.lang <> 'fr' AND l.toxic = 0) AS evaluados,
+    count(*) FILTER (WHERE d.lang <> 'fr' AND l.toxic = 0 AND (l.quality = 1) = (d.n_chars >= 300)) AS acuerdos,
+    count(*) FILTER (WHERE d.lang <> 'fr' AND l.toxic = 1) AS dudosos, count(*) FILTER (WHERE d.lang = 'fr') AS excluidos,
+    CAST(round(CAST(CAST(count(*) FILTER (WHERE d.lang <> 'fr' AND l.toxic = 0 AND (l.quality = 1) = (d.n_chars >= 300)) AS DOUBLE)
+        / count(*) FILTER (WHERE d.lang <> 'fr' AND l.toxic = 0) AS DECIMAL(38,10)), 4) AS DOUBLE) AS concordancia
+    FROM labels l JOIN documents d USING (doc_id)""")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sample = docs.select(F.col("doc_id").alias("caso"), F.col("lang").alias("pagina"), (F.col("n_chars") >= 300).alias("juez_producto_ok"),
+                         F.lit(True).alias("juez_precio_ok"))
+    answers = spark.read.parquet(f"{sf}/labels.parquet").select(
+        F.col("doc_id").alias("caso"), F.when(F.col("toxic") == 1, "dudoso").when(F.col("quality") == 1, "si").otherwise("no").alias("r_producto"),
+        F.lit("si").alias("r_precio"))
+    return evaluation.agreement(sample, answers, docs.filter("lang = 'fr'").select(F.col("lang").alias("pagina")))
+
+
+@check("field_scores")
+def _(spark, sf):
+    cells = cut_lineage(tpch_blocks.items(spark, sf))
+    classified = cut_lineage(_kinds(spark, sf).withColumn("valor", F.regexp_extract("texto", "[0-9]+", 0).try_cast("double")))
+    articles = cells.select("pagina", F.col("pos").alias("id"), "nombre", F.col("nombre").alias("producto"),
+                            F.col("entero").cast("double").alias("precio"))
+    promotions = cells.filter("imp >= 7").select("pagina", F.col("pos").alias("promo"), F.lit("descuento especial").alias("texto"))
+    return evaluation.field_scores(articles, promotions, classified, classified, PAGE)

@@ -197,3 +197,22 @@ def active_events(star: Star, as_of) -> DataFrame:
         .groupBy("nombre_evento", "tienda", "fecha_inicio", "fecha_fin", "texto_raw")
         .agg(F.sum(F.coalesce("precios", F.lit(0))).alias("num_precios_asociados"), F.min("id").alias("id"))
     )
+
+
+def register_views(star: Star, as_of) -> list[str]:
+    """Registers the star tables and views for SQL users; returns the names."""
+    from .comparison import comparison_by_key
+    frames = {
+        **{t: getattr(star, t) for t in ("tiendas", "folletos", "paginas", "extracciones", "eventos_promo",
+                                         "errores_carga", "productos_canonicos")},
+        "v_precios_actuales": current_prices(star),
+        "v_comparativa_precios": price_ranges(star),
+        "v_calidad_folletos": flyer_quality(star),
+        "v_historico_precios": price_history(star),
+        "v_folletos_vigencia": flyer_validity(star, as_of),
+        "v_eventos_activos": active_events(star, as_of),
+        "v_comparativa_precios_v2": comparison_by_key(star),
+    }
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    return list(frames)

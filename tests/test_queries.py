@@ -96,3 +96,12 @@ def test_boxes(spark):
     for a, b, want in cases:
         got = spark.range(1).select(geometry.boxes_coincide(tuple(map(F.lit, a)), tuple(map(F.lit, b)))).first()[0]
         assert got == want
+
+
+def test_views_answer_sql(spark):
+    from checks.common import AS_OF, star_of
+    from octavilla.plans.views import register_views
+    register_views(star_of(spark, SF), AS_OF)
+    row = spark.sql("SELECT count(*) AS n, count(DISTINCT tienda) AS t FROM v_precios_actuales").first()
+    assert row["n"] > 0 and row["t"] == 10
+    assert spark.sql("SELECT * FROM v_folletos_vigencia WHERE vigente").count() >= 0
