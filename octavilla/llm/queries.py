@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_files, warc
+from . import packing, quality, token_files, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_token_files": token_files.op3_token_files,
+    "op4_quality_grades": quality.op4_quality_grades,
     "op9_warc_transactions": warc.op9_warc_transactions,
 }
 
