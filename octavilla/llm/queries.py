@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, quality, token_files, warc
+from . import mixing, packing, quality, token_files, warc
 
 QUERIES = {
+    "op1_soft_mixing": mixing.op1_soft_mixing,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_token_files": token_files.op3_token_files,
     "op4_quality_grades": quality.op4_quality_grades,
