@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, token_files, toxicity, warc
+from . import embeddings, mixing, packing, quality, token_files, toxicity, warc
 
 QUERIES = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_grades": quality.op4_quality_grades,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc_transactions": warc.op9_warc_transactions,
+    "op10_embedding_near_copies": embeddings.op10_embedding_near_copies,
 }
 
 ORACLES: dict[str, str] = {}
