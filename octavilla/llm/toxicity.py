@@ -26,8 +26,8 @@ SEPARATORS = " .-_*~'"
 EDGES = ".,;:!?\"'()[]{}<>*&%#~`^=+-_/\\|«»“”„¡¿…"
 
 #: Costs of the channel, as negative log probabilities: a sign for a letter, a sign that stands
-#: for nothing, a letter written more often than meant.
-SIGN_COST, DROP_COST, REPEAT_COST = 1.0, 6.0, 1.0
+#: for nothing, a letter written three times or more for one or two, a letter doubled.
+SIGN_COST, DROP_COST, REPEAT_COST, DOUBLE_COST = 1.0, 6.0, 1.0, 3.0
 #: Symbols of the character model: the letters a to z and the edge of a word.
 ALPHABET = 27
 EDGE = 26
@@ -42,7 +42,7 @@ CHOSEN = 2000
 #: Distinct written words a worker remembers before it starts anew.
 MOST_WORDS = 500_000
 
-_SUSPECT = re.compile(r"(.)\1\1|[^\W\d_].*[0-9@$!|+€£(¡]|[0-9@$|€£(¡].*[^\W\d_]|^(?:\w[.\-_*~']){2,}\w$")
+_SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_].*[0-9@$!|+€£(¡]|[0-9@$|€£(¡].*[^\W\d_]|^(?:\w[.\-_*~']){2,}\w$")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:[ \t](?:[^\W_]|[@$!|+€£])){2,}(?=\s|[.,;:?!]|$)")
 
 
@@ -89,7 +89,7 @@ class CharacterModel:
             arcs = [] if plain else [("", DROP_COST)]
             for letter in sign if plain else LEET.get(sign, ""):
                 cost = 0.0 if plain else SIGN_COST
-                arcs.append((letter, cost + (REPEAT_COST if n > 1 else 0.0)))
+                arcs.append((letter, cost + (0.0 if n == 1 else DOUBLE_COST if n == 2 else REPEAT_COST)))
                 if n > 1:
                     arcs.append((letter * 2, cost + (REPEAT_COST if n > 2 else 0.0)))
             reached: dict[int, tuple[float, str]] = {}
@@ -224,7 +224,7 @@ def fit_scorer(rows: list[set[int]], toxic: np.ndarray, rounds: int = 300) -> di
     here = column[slot] >= 0
     x[doc[here], column[slot[here]]] = 1
     x[:, -1] = 1
-    penalty = np.full(x.shape[1], 2e-4)
+    penalty = np.full(x.shape[1], 5e-5)
     penalty[-1] = 0
     # the gradient's slope is at most a quarter of the largest row sum of the Gram matrix
     step = 4 * len(rows) / max(float((x.sum(axis=1) @ x).max()), 1.0)
