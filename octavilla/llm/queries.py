@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, mixing, near_copies, packing, quality, token_files, toxicity, warc
+from . import embeddings, fingerprints, mixing, near_copies, packing, quality, suffixes, token_files, toxicity, warc
 
 QUERIES = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op4_quality_grades": quality.op4_quality_grades,
     "op5_order_minhash": fingerprints.op5_order_minhash,
+    "op6_suffix_repeats": suffixes.op6_suffix_repeats,
     "op7_near_copies": near_copies.op7_near_copies,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc_transactions": warc.op9_warc_transactions,
