@@ -188,12 +188,12 @@ def repeated(docs: DataFrame, rates: DataFrame, seed: int = 1) -> DataFrame:
     """
     pick = rates.select("doc_id", "text_hash", "rate").dropDuplicates(["doc_id", "text_hash"])
     pick = pick.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("rate").alias("_rate"))
-    texts = docs.withColumn("_h", F.xxhash64(whole_text()))
-    joined = texts.join(pick, texts["doc_id"].eqNullSafe(pick["_id"]) & (texts["_h"] == pick["_th"]))
-    draw = F.pmod(F.xxhash64("doc_id", "_h", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    texts = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(whole_text()).alias("_h"))
+    own = F.col("row.doc_id")
+    joined = texts.join(pick, own.eqNullSafe(pick["_id"]) & (texts["_h"] == pick["_th"]))
+    draw = F.pmod(F.xxhash64(own, F.col("_h"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return (joined.withColumn("_times", times.cast("int"))
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

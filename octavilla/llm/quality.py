@@ -111,7 +111,8 @@ def grade_documents(docs: DataFrame, grader: Grader) -> DataFrame:
 def keep_selected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents likely to reach grade 1, with the columns they came with."""
     grader = fit_on_ratings(table(spark, sf_dir, "documents"), graded(table(spark, sf_dir, "labels")), 3)
-    return grade_documents(docs, grader).filter("selected").select(*docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return grade_documents(whole, grader).filter("selected").select("row.*")
 
 
 def op4_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from . import embeddings, fingerprints, mixing, near_copies, packing, quality, suffixes, token_files, toxicity, warc
 
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
@@ -15,6 +21,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc_transactions": warc.op9_warc_transactions,
     "op10_embedding_near_copies": embeddings.op10_embedding_near_copies,
+    "pipeline": _pipeline,
 }
 
 ORACLES: dict[str, str] = {}

@@ -413,8 +413,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     def readable(kept):
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    left = without_repeats(docs).withColumn("text", F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("text")))
-    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = without_repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    text = F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("row.text"))
+    size = F.char_length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    new = {"text": text, "n_chars": size}
+    return left.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
