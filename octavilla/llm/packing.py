@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, whole_text
-from .tokens import Encoder, in_portions
+from .tokens import encoder, in_portions
 
 #: Rows of one length that one task ranks.
 RANKED_AT_ONCE = 1_000_000
@@ -22,15 +22,16 @@ RANKED_AT_ONCE = 1_000_000
 def token_pieces(docs: DataFrame, file: str, end: int, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents longer than ``capacity`` are cut, no other."""
     def cut(batches):
-        encoder = Encoder(file, end)
+        own = encoder(file, end)
         for batch in batches:
             ids, at = batch.column("doc_id").to_pylist(), 0
             for texts in in_portions(batch.column("text").to_pylist()):
-                rows = []
-                for doc_id, tokens in zip(ids[at:], encoder.encode(texts)):
-                    for piece, start in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[start:start + capacity]
-                        rows.append((doc_id, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+                tokens, offsets = own.encode(texts)
+                tokens, rows = tokens.astype("<u4"), []
+                for doc_id, a, b in zip(ids[at:], offsets.tolist(), offsets[1:].tolist()):
+                    for piece, start in enumerate(range(a, b, capacity)):
+                        stop = min(start + capacity, b)
+                        rows.append((doc_id, piece, start - a, stop - start, zlib.crc32(tokens[start:stop].tobytes())))
                 at += len(texts)
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder, table, whole_text
-from .tokens import Encoder, in_portions
+from .tokens import encoder, in_portions
 
 _SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, tokens array<int>"
 
@@ -28,23 +29,18 @@ def write_token_files(docs: DataFrame, path: str, file: str, end: int, row_group
     repeated ids are ordered by text; other columns are not read.  An empty table writes no rows.
     """
     def encode(batches):
-        encoder, part, before = Encoder(file, end), TaskContext.get().partitionId(), 0
+        own, part, before = encoder(file, end), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, at = batch.column("doc_id"), 0
             for texts in in_portions(batch.column("text").to_pylist()):
-                rows = list(encoder.encode(texts))
-                sizes = [len(r) for r in rows]
-                offsets, starts = [0], []
-                for n in sizes:
-                    offsets.append(offsets[-1] + n)
-                    starts.append(before)
-                    before += n
-                flat = pa.array(_joined(rows), pa.int32())
+                tokens, offsets = own.encode(texts)
+                n = len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(rows)), pa.array([part] * len(rows), pa.int32()), pa.array(starts, pa.int64()),
-                     pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)],
+                    [ids.slice(at, n), pa.array(np.full(n, part, np.int32)), pa.array(before + offsets[:-1]),
+                     pa.array(np.diff(offsets).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
-                at += len(rows)
+                at, before = at + n, before + int(offsets[-1])
 
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
@@ -56,15 +52,10 @@ def write_token_files(docs: DataFrame, path: str, file: str, end: int, row_group
      .parquet(path))
 
 
-def _joined(rows):
-    import numpy as np
-    return np.concatenate(rows) if rows else np.zeros(0, np.int32)
-
-
 def token_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, part, start_in_part, start, n_tokens): no id is read.  ``start`` counts over all files."""
     rows = spark.read.schema(_SCHEMA).parquet(path).drop("tokens")
-    return _with_start(rows)
+    return _with_start(rows, _before(spark, path))
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -75,12 +66,14 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
     return rows if last is None else rows.filter(F.col("doc_id") <= last)
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    # one row per file
-    before = sums.select("part", F.coalesce(
-        F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+def _before(spark: SparkSession, path: str) -> DataFrame:
+    """(part, before): ids in all earlier files; one row per file."""
+    sums = spark.read.schema(_SCHEMA).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+
+
+def _with_start(rows: DataFrame, before: DataFrame) -> DataFrame:
     return rows.join(before, "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("before")
 
 
@@ -98,9 +91,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     read = read_tokens(spark, path).select("doc_id", "part", "start_in_part", "tokens")
     digests = read.mapInArrow(digest, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
-    starts = token_metadata(spark, path).groupBy("part").agg(F.min(F.col("start") - F.col("start_in_part")).alias("before"))
-    return digests.join(starts, "part").select(
-        "doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    return _with_start(digests, _before(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -19,13 +21,24 @@ _N = "0-9²³¹¼½¾"
 _BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"
 _UNUSUAL = re.compile("[^\t\n\r -~¡-ſ]|İ")
+_ODD_SPACES = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
-#: Pieces kept by a worker before it starts anew; bounds its memory at about 150 MB.
-MOST_PIECES = 600_000
+#: Pieces a worker remembers.  When they are reached, those met only once are forgotten.
+MOST_PIECES = 800_000
 #: Longer pieces (no prose has them) are encoded each time and never kept.
 LONGEST_PIECE = 64
 
 
+def _usual(text: str) -> bool:
+    """Whether the cut written out here holds for the text; quick tests first."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not _UNUSUAL.search(text)
+    return not any(c in text for c in _ODD_SPACES)
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -33,6 +46,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Codes(dict):
+    """A number for each piece; a piece not seen before is encoded when it is asked for."""
+
+    learn = None
+
+    def __missing__(self, piece: str) -> int:
+        return self.learn(piece)
+
+
 class Encoder:
     """Ids of texts, ``end`` appended to each; strings of special tokens count as ordinary text."""
 
@@ -44,52 +66,89 @@ class Encoder:
         self.lower = self.tokenizer.normalizer is not None
         self.pattern = re.compile(_WORD_PATTERN if self.lower else _BYTE_PATTERN)
         self.letters, self.end = _byte_letters(), end
-        self._forget()
+        self.codes = _Codes()
+        self.codes.learn = self._learn
+        self.long: list[str] = []
+        self._start([("", [end])])  # code 0 ends a text
+
+    def _start(self, known: list[tuple[str, list[int]]]) -> None:
+        self.codes.clear()
+        self.new_ids: list[int] = []
+        self.new_sizes: list[int] = []
+        self.flat = np.zeros(0, np.int32)
+        self.at = np.zeros((0, 2), np.int32)  # start in flat and length of each code
+        self.again = np.zeros(0, bool)  # met in a later portion than the first
+        for piece, ids in known:
+            self.codes[piece] = len(self.codes)
+            self.new_ids += ids
+            self.new_sizes.append(len(ids))
+        self._settle()
+
+    def _learn(self, piece: str) -> int:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1")
+        ids = [t.id for t in self.tokenizer.model.tokenize(spelled.translate(self.letters))]
+        if len(piece) > LONGEST_PIECE:
+            self.long.append(piece)
+        code = self.codes[piece] = len(self.codes)
+        self.new_ids += ids
+        self.new_sizes.append(len(ids))
+        return code
+
+    def _settle(self) -> None:
+        """Moves what a portion has taught into the arrays."""
+        sizes = np.array(self.new_sizes, np.int64)
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        self.at = np.concatenate([self.at, np.stack([starts, sizes], axis=1).astype(np.int32)])
+        self.flat = np.concatenate([self.flat, np.array(self.new_ids, np.int32)])
+        self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
+        self.new_ids, self.new_sizes = [], []
 
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.at = np.zeros((2, 1 << 14), np.int64)  # start in flat and length of each code
-        self.used = 0
-
-    def _ids(self, piece: str) -> list[int]:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        for piece in pieces:
-            ids, code = self._ids(piece), len(self.codes)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if code >= self.at.shape[1]:
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)], axis=1)
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.at[:, code] = self.used, len(ids)
-            self.used += len(ids)
-            self.codes[piece] = code
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end], np.int32)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """One array of ids per text, in order."""
-        cut = [None if _UNUSUAL.search(t) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
+        """Keeps the pieces met again, or none if nearly all were; long ones never."""
+        keep = [p for p, c in self.codes.items() if c and self.again[c] and len(p) <= LONGEST_PIECE]
+        if len(keep) > MOST_PIECES * 0.9:
+            keep = []
+        codes = [0, *map(self.codes.__getitem__, keep)]
+        self._start([(p, self.flat[self.at[c, 0]:self.at[c].sum()].tolist()) for p, c in zip(["", *keep], codes)])
+
+    def _cut(self, text: str) -> list[str]:
+        return self.pattern.findall(text.lower() if self.lower else text)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the offset of each text's ids in them."""
         if len(self.codes) > MOST_PIECES:
             self._forget()
-        new = set().union(*(c for c in cut if c)).difference(self.codes)
-        self._learn(p for p in new if len(p) <= LONGEST_PIECE)
-        for text, pieces in zip(texts, cut):
-            if pieces is None or any(len(p) > LONGEST_PIECE for p in pieces):
-                yield self._whole(text)
-                continue
-            codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
-            start, size = self.at[:, codes]
-            ends = np.cumsum(size)
-            n = int(ends[-1]) if len(ends) else 0
-            out = np.empty(n + 1, np.int32)
-            out[:n] = self.flat[np.repeat(start - (ends - size), size) + np.arange(n)]
-            out[n] = self.end
-            yield out
+        known = len(self.codes)
+        cut = [self._cut(t) if _usual(t) else None for t in texts]
+        pieces = chain.from_iterable(chain(c or (), ("",)) for c in cut)
+        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64)
+        self._settle()
+        self.again[codes] = True
+        self.again[known:] = False
+        start, size = self.at.take(codes, axis=0).T
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        at += np.repeat(start - (ends - size), size)
+        ids = self.flat.take(at)
+        offsets = np.concatenate([[0], ends[np.cumsum([len(c or ()) + 1 for c in cut], dtype=np.int64) - 1]]) if texts else np.zeros(1, np.int64)
+        if self.long:
+            self.long = []
+            self._forget()
+        whole = [i for i, c in enumerate(cut) if c is None]
+        return self._with_whole(texts, whole, ids, offsets) if whole else (ids, offsets.astype(np.int64))
+
+    def _with_whole(self, texts, whole, ids, offsets):
+        """Puts in the texts that the tokenizer must see as a whole."""
+        parts = [ids[a:b] for a, b in zip(offsets, offsets[1:])]
+        for i in whole:
+            parts[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.end], np.int32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+@lru_cache(maxsize=2)
+def encoder(file: str, end: int) -> Encoder:
+    """The worker's encoder; what it has learnt serves its later tasks."""
+    return Encoder(file, end)
 
 
 def in_portions(texts: Iterable[str], characters: int = 1 << 20) -> Iterator[list[str]]:
