@@ -37,8 +37,8 @@ BEAM = 12
 #: Hash slots of words and of their beginnings, labelled rows and features of the scorer at most.
 SLOTS = 1 << 20
 BEGINNINGS = (4, 5)
-SAMPLE = 12_000
-CHOSEN = 2000
+SAMPLE = 10_000
+CHOSEN = 1500
 #: Distinct written words a worker remembers before it starts anew.
 MOST_WORDS = 500_000
 
@@ -178,8 +178,9 @@ class Reader:
         self.model, self.wanted, self.known = model, wanted, {}
 
     def slots(self, written: str) -> tuple[int, ...]:
-        word = restored(written, self.model)
-        parts = [word, *("^" + word[:n] for n in BEGINNINGS if len(word) > n)] if word else []
+        # accents may tell words apart that are alike without them
+        words = {restored(written, self.model), core_of(written).lower()} - {""}
+        parts = [p for w in words for p in (w, *("^" + w[:n] for n in BEGINNINGS if len(w) > n))]
         slots = {zlib.crc32(p.encode("utf-8", "surrogatepass")) % SLOTS for p in parts}
         return tuple(sorted(slots if self.wanted is None else slots & self.wanted))
 
@@ -199,20 +200,21 @@ def held_out(key: str) -> Column:
     return F.crc32(text.cast("binary")) % 5 == 0
 
 
-def fit_scorer(rows: list[set[int]], toxic: np.ndarray, rounds: int = 300) -> dict[int, float]:
+def fit_scorer(slots: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) -> dict[int, float]:
     """Slot weights of a logistic regression with an absolute-value penalty; slot -1 is the constant.
 
-    The slots that tell the classes apart best by their log-odds are chosen first.
+    ``slots`` holds the distinct slots of each text.  Those that tell the classes apart best by
+    their log-odds are chosen first.
     """
-    toxic = toxic.astype(float)
-    if not len(rows) or toxic.min() == toxic.max():
-        rate = (toxic.sum() + 0.5) / (len(rows) + 1)
+    toxic, rows = toxic.astype(float), len(slots)
+    if not rows or toxic.min() == toxic.max():
+        rate = (toxic.sum() + 0.5) / (rows + 1)
         return {-1: float(np.log(rate / (1 - rate)))}
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    slot = np.fromiter((s for r in rows for s in sorted(r)), np.int64, len(doc))
+    doc = np.repeat(np.arange(rows, dtype=np.int32), [len(s) for s in slots])
+    slot = np.concatenate(slots)
     in_toxic = np.bincount(slot, weights=toxic[doc], minlength=SLOTS)
     in_all = np.bincount(slot, minlength=SLOTS)
-    n1, n0 = toxic.sum(), len(rows) - toxic.sum()
+    n1, n0 = toxic.sum(), rows - toxic.sum()
     odds = np.log((in_toxic + 0.1) / (n1 + 0.2)) - np.log((in_all - in_toxic + 0.1) / (n0 + 0.2))
     gain = np.where(in_all >= 3, np.abs(odds) * np.sqrt(np.maximum(in_toxic, in_all - in_toxic)), 0)
     gain[odds < 0] *= 0.1
@@ -220,23 +222,23 @@ def fit_scorer(rows: list[set[int]], toxic: np.ndarray, rounds: int = 300) -> di
     chosen = chosen[gain[chosen] > 0]
     column = np.full(SLOTS, -1)
     column[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen) + 1), np.float32)
+    x = np.zeros((rows, len(chosen) + 1), np.float32)
     here = column[slot] >= 0
     x[doc[here], column[slot[here]]] = 1
     x[:, -1] = 1
-    penalty = np.full(x.shape[1], 5e-5)
+    penalty = np.full(x.shape[1], 5e-5, np.float32)
     penalty[-1] = 0
     # the gradient's slope is at most a quarter of the largest row sum of the Gram matrix
-    step = 4 * len(rows) / max(float((x.sum(axis=1) @ x).max()), 1.0)
-    w = np.zeros(x.shape[1])
+    step = np.float32(4 * rows / max(float((x.sum(axis=1) @ x).max()), 1.0))
+    w = np.zeros(x.shape[1], np.float32)
     w[-1] = np.log(n1 / n0)
     ahead, t = w, 1.0
     for _ in range(rounds):
-        g = x.T @ (sigmoid(x @ ahead) - toxic) / len(rows)
+        g = x.T @ ((sigmoid(x @ ahead) - toxic) / rows).astype(np.float32)
         moved = ahead - step * g
         new = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
-        faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, w, t = new + (t - 1) / faster * (new - w), new, faster
+        faster = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        ahead, w, t = new + np.float32((t - 1) / faster) * (new - w), new, faster
     weights = {int(s): float(v) for s, v in zip(chosen, w) if v}
     return weights | {-1: float(w[-1])}
 
@@ -255,7 +257,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, model: CharacterModel) ->
                 np.array(sorted(reader.read(t)), np.int32).tobytes() for t in frame["text"]]})
 
     rows = texts.mapInPandas(read, "toxic int, slots binary").toPandas()
-    return fit_scorer([set(np.frombuffer(b, np.int32).tolist()) for b in rows["slots"]], rows["toxic"].to_numpy(int))
+    return fit_scorer([np.frombuffer(b, np.int32) for b in rows["slots"]], rows["toxic"].to_numpy(int))
 
 
 def _model_of(log_p: np.ndarray) -> CharacterModel:
