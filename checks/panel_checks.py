@@ -261,27 +261,23 @@ def _(spark, sf):
     return panels.flyer_quality(star_of(spark, sf), source="tiendeo", state="done", min_useful=0.4)
 
 
-_RELIABILITY = f"""SELECT t.slug AS tienda_slug, t.nombre AS tienda, coalesce(a.n, 0) AS registros,
-    coalesce(a.cat, 0) AS reg_catalogo, coalesce(a.sin, 0) AS reg_sin_categoria, coalesce(a.fol, 0)
-    AS folletos_con_precio, {pct('a.cat', 'a.n')} AS pct_catalogo, {pct('a.heu', 'a.n')} AS pct_heuristico,
-    {pct('a.sin', 'a.n')} AS pct_sin_categoria, {rnd('a.media', 3)} AS conf_ocr_media,
-    {rnd('a.mediana', 3)} AS conf_ocr_mediana, {pct('coalesce(d.sobrantes, 0)', 'a.n')} AS pct_duplicados,
-    coalesce(a.ati, 0) AS atipicos FROM tiendas t LEFT JOIN agg a ON a.tienda_id = t.id
-    LEFT JOIN dup d ON d.tienda_id = t.id"""
+# one line per store and record, stores without records keep one; a repeated line is surplus from its second time on
+_RELIABILITY = f"""SELECT slug AS tienda_slug, nombre AS tienda, count(id) AS registros, count(1) FILTER (WHERE cat) AS reg_catalogo,
+    count(1) FILTER (WHERE sin) AS reg_sin_categoria, count(DISTINCT folleto_id) AS folletos_con_precio,
+    {pct('count(1) FILTER (WHERE cat)', 'count(id)')} AS pct_catalogo, {pct('count(1) FILTER (WHERE heu)', 'count(id)')} AS pct_heuristico,
+    {pct('count(1) FILTER (WHERE sin)', 'count(id)')} AS pct_sin_categoria,
+    {rnd('CAST(sum(CAST(confianza_ocr AS DECIMAL(18,6))) AS DOUBLE) / count(confianza_ocr)', 3)} AS conf_ocr_media,
+    {rnd('median(confianza_ocr)', 3)} AS conf_ocr_mediana, {pct('count(1) FILTER (WHERE vez > 1)', 'count(id)')} AS pct_duplicados,
+    count(1) FILTER (WHERE valor NOT BETWEEN 1 AND 100000) AS atipicos FROM linea GROUP BY tid, slug, nombre"""
 
 
 def _reliability_ctes(where: str) -> dict[str, str]:
     return {
-        "rel": f"SELECT b.* FROM base b JOIN folletos f ON f.id = b.folleto_id {where}",
-        "dup": """SELECT tienda_id, sum(n - 1) AS sobrantes FROM (SELECT tienda_id, folleto_id, pagina_id, texto_norm,
-            valor, count(*) AS n FROM rel GROUP BY ALL HAVING count(*) > 1) d GROUP BY 1""",
-        "agg": f"""SELECT tienda_id, count(*) AS n, count(*) FILTER (WHERE metodo IN {CATALOGUE}) AS cat,
-            count(*) FILTER (WHERE metodo = 'heuristico') AS heu,
-            count(*) FILTER (WHERE {_no_category('categoria_nlp')}) AS sin,
-            count(*) FILTER (WHERE valor < 1 OR valor > 100000) AS ati,
-            CAST(sum(CAST(confianza_ocr AS DECIMAL(18,6))) AS DOUBLE) / count(confianza_ocr) AS media,
-            percentile_cont(0.5) WITHIN GROUP (ORDER BY confianza_ocr) AS mediana,
-            count(DISTINCT folleto_id) AS fol FROM rel GROUP BY 1""",
+        "linea": f"""SELECT s.id AS tid, s.slug, s.nombre, x.* FROM tiendas s LEFT JOIN (
+            SELECT b.id, b.tienda_id, b.folleto_id, b.valor, b.confianza_ocr, b.metodo IN {CATALOGUE} AS cat,
+                b.metodo = 'heuristico' AS heu, {_no_category('b.categoria_nlp')} AS sin, row_number() OVER (
+                    PARTITION BY b.tienda_id, b.folleto_id, b.pagina_id, b.texto_norm, b.valor ORDER BY b.id) AS vez
+            FROM base b JOIN folletos f ON f.id = b.folleto_id {where}) x ON x.tienda_id = s.id""",
     }
 
 
@@ -306,32 +302,28 @@ def _(spark, sf):
     return panels.reliability_totals(panels.store_reliability(star_of(spark, sf)))
 
 
+# every table adds lines (store, measure, amount, day); the answer is their sum or maximum by measure
+_CURRENT = "CASE WHEN vigente THEN '{}' END"
 _COVERAGE_CTES = {
-    "pag": """SELECT folleto_id, count(*) AS paginas, count(*) FILTER (WHERE total_precios > 0) AS con
-        FROM paginas GROUP BY 1""",
-    "pre": f"SELECT e.folleto_id, count(*) AS precios FROM extracciones e WHERE {RECORD} GROUP BY 1",
-    "err": "SELECT tienda_slug, count(*) FILTER (WHERE NOT resuelto) AS abiertos, count(*) AS total FROM errores_carga GROUP BY 1",
-    "x": f"""SELECT v.tienda_id, count(*) AS folletos_total, count(*) FILTER (WHERE vigente) AS folletos_vigentes,
-        count(*) FILTER (WHERE vigente_dudoso) AS vigentes_fecha_dudosa, count(*) FILTER (WHERE proximo) AS proximos,
-        count(*) FILTER (WHERE anomalia_fecha IS NOT NULL) AS folletos_fecha_anomala,
-        max(fecha_inicio) FILTER (WHERE fecha_inicio <= {DAY} AND (anomalia_fecha IS NULL
-            OR anomalia_fecha NOT IN {UNRELIABLE})) AS fecha_ultimo_folleto, max(scrapeado_at) AS ultimo,
-        CAST(sum(coalesce(paginas, 0)) AS BIGINT) AS paginas_total,
-        CAST(sum(coalesce(paginas, 0)) FILTER (WHERE vigente) AS BIGINT) AS paginas_vigentes,
-        CAST(sum(coalesce(con, 0)) FILTER (WHERE vigente) AS BIGINT) AS paginas_vig_con_precio,
-        CAST(sum(coalesce(precios, 0)) FILTER (WHERE vigente) AS BIGINT) AS precios_vigentes,
-        CAST(sum(coalesce(precios, 0)) AS BIGINT) AS precios_total
-        FROM vfv v LEFT JOIN pag p ON p.folleto_id = v.id LEFT JOIN pre r ON r.folleto_id = v.id GROUP BY 1""",
-    "cov": f"""SELECT t.slug AS tienda_slug, t.nombre AS tienda, coalesce(x.folletos_total, 0) AS folletos_total,
-        coalesce(x.folletos_vigentes, 0) AS folletos_vigentes, coalesce(x.vigentes_fecha_dudosa, 0)
-        AS vigentes_fecha_dudosa, coalesce(x.proximos, 0) AS proximos, x.fecha_ultimo_folleto,
-        CAST({DAY} - x.fecha_ultimo_folleto AS INTEGER) AS dias_desde_ultimo, CAST(x.ultimo AS DATE) AS ultimo_scrapeo,
-        coalesce(x.paginas_vigentes, 0) AS paginas_vigentes, coalesce(x.paginas_vig_con_precio, 0)
-        AS paginas_vig_con_precio, coalesce(x.precios_vigentes, 0) AS precios_vigentes,
-        coalesce(x.paginas_total, 0) AS paginas_total, coalesce(x.precios_total, 0) AS precios_total,
-        coalesce(x.folletos_fecha_anomala, 0) AS folletos_fecha_anomala,
-        coalesce(e.abiertos, 0) AS errores_abiertos, coalesce(e.total, 0) AS errores_total
-        FROM tiendas t LEFT JOIN x ON x.tienda_id = t.id LEFT JOIN err e ON e.tienda_slug = t.slug""",
+    "apunte": f"""SELECT tienda_slug AS slug, unnest(['folletos_total', {_CURRENT.format('folletos_vigentes')},
+            CASE WHEN vigente_dudoso THEN 'vigentes_fecha_dudosa' END, CASE WHEN proximo THEN 'proximos' END,
+            CASE WHEN anomalia_fecha IS NOT NULL THEN 'folletos_fecha_anomala' END,
+            CASE WHEN fecha_inicio <= {DAY} AND coalesce(anomalia_fecha, '') NOT IN {UNRELIABLE} THEN 'inicio' END]) AS medida,
+            fecha_inicio AS dia, scrapeado_at AS visto FROM vfv
+        UNION ALL BY NAME SELECT v.tienda_slug AS slug, unnest(['paginas_total', {_CURRENT.format('paginas_vigentes')},
+            CASE WHEN vigente AND total_precios > 0 THEN 'paginas_vig_con_precio' END]) AS medida
+            FROM paginas p JOIN vfv v ON v.id = p.folleto_id
+        UNION ALL BY NAME SELECT v.tienda_slug AS slug, unnest(['precios_total', {_CURRENT.format('precios_vigentes')}]) AS medida
+            FROM extracciones e JOIN vfv v ON v.id = e.folleto_id WHERE {RECORD}
+        UNION ALL BY NAME SELECT tienda_slug AS slug,
+            unnest(['errores_total', CASE WHEN NOT resuelto THEN 'errores_abiertos' END]) AS medida FROM errores_carga""",
+    "cov": "SELECT s.slug AS tienda_slug, s.nombre AS tienda, " + ", ".join(
+        f"count(1) FILTER (WHERE medida = '{m}') AS {m}" for m in (
+            "folletos_total", "folletos_vigentes", "vigentes_fecha_dudosa", "proximos", "paginas_vigentes",
+            "paginas_vig_con_precio", "precios_vigentes", "paginas_total", "precios_total", "folletos_fecha_anomala",
+            "errores_abiertos", "errores_total")) + f""", max(CASE WHEN medida = 'inicio' THEN dia END) AS fecha_ultimo_folleto,
+        CAST(date_diff('day', max(CASE WHEN medida = 'inicio' THEN dia END), {DAY}) AS INTEGER) AS dias_desde_ultimo,
+        CAST(max(visto) AS DATE) AS ultimo_scrapeo FROM tiendas s LEFT JOIN apunte a ON a.slug = s.slug GROUP BY s.id, s.slug, s.nombre""",
 }
 
 

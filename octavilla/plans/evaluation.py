@@ -134,22 +134,24 @@ def price_signatures(price: Column) -> Column:
     return F.filter(F.array(full, short), lambda s: s.isNotNull())
 
 
-def _digit_runs(text: Column) -> Column:
-    """Every run inside the digits of a text, so that "contains" becomes equality."""
+def _digit_runs(text: Column, lengths: list[int]) -> Column:
+    """Every run of so many digits inside those of a text, so that "contains" becomes equality."""
     digits = F.regexp_replace(F.coalesce(text, F.lit("")), r"\D", "")
     n = F.length(digits)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(n - i + 1, F.lit(12))), lambda k: F.substring(digits, i, k)))
-    return F.array_distinct(F.flatten(runs))
+    none = F.array().cast("array<string>")
+    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(digits, i, F.lit(k)))).otherwise(none)
+            for k in lengths]
+    return F.array_distinct(F.flatten(F.array(*runs))) if runs else none
 
 
 def holding_signature(texts: DataFrame, signed: DataFrame, page: list[str], text_id: list[str], sign_id: list[str],
                       text: str, least: int = 1) -> DataFrame:
     """(page, text_id, sign_id) where the digits of a text hold a signature."""
-    runs = texts.select(*page, *text_id, F.explode(_digit_runs(F.col(text))).alias("_s"))
-    signs = signed.select(*page, *sign_id, F.explode(price_signatures(F.col("precio"))).alias("_s"))
-    return runs.filter(F.length("_s") >= least).join(signs.filter(F.length("_s") >= least), [*page, "_s"]).select(
+    signs = signed.select(*page, *sign_id, F.explode(price_signatures(F.col("precio"))).alias("_s")).filter(F.length("_s") >= least)
+    # as many numbers as signatures have different lengths: a few
+    lengths = sorted(r["n"] for r in signs.select(F.length("_s").alias("n")).distinct().collect())
+    runs = texts.select(*page, *text_id, F.explode(_digit_runs(F.col(text), lengths)).alias("_s"))
+    return runs.join(signs, [*page, "_s"]).select(
         *page, *text_id, *sign_id).distinct()
 
 

@@ -25,8 +25,6 @@ ERROR_CATEGORIES = (
 # Days before and after today shown by the weekly series.
 WEEKS_BACK_DAYS = 182
 WEEKS_AHEAD_DAYS = 30
-# A limited panel up to this many rows is sent to the tables that complete it.
-MAX_ROWS_SENT = 10_000
 # Display names of the validity states.
 VALIDITY_NAMES = {
     "vigente": "Vigente hoy",
@@ -48,15 +46,10 @@ def count_where(condition: Column) -> Column:
 
 # -- provenance ------------------------------------------------------------------------
 
-def attach_page_number(rows: DataFrame, star: Star, few: bool = False) -> DataFrame:
-    """Adds ``numero_pagina`` and cleans the source address.
-
-    Every extraction has its page.  ``few`` is for rows cut by a small limit: they are
-    sent to the page table, which then needs no shuffle.
-    """
+def attach_page_number(rows: DataFrame, star: Star) -> DataFrame:
+    """Adds ``numero_pagina``, NULL for a page that is not there, and cleans the source address."""
     pages = star.paginas.select(F.col("id").alias("pagina_id"), "numero_pagina")
-    joined = pages.join(F.broadcast(rows), "pagina_id") if few else rows.join(pages, "pagina_id", "left")
-    return joined.withColumn("url_origen", safe_url(F.col("url_origen")))
+    return rows.join(pages, "pagina_id", "left").withColumn("url_origen", safe_url(F.col("url_origen")))
 
 
 def provenance(ids: DataFrame, star: Star) -> DataFrame:
@@ -76,14 +69,15 @@ def extraction_origin(star: Star, extraction_ids=None) -> DataFrame:
     fields = ["id", "tipo", "texto_raw", "texto_norm", "valor", "valor_anterior", "confianza_ocr",
               "bbox_x", "bbox_y", "bbox_ancho", "bbox_alto", "pagina_id", "producto_extraccion_id",
               "metodo_norm"]
-    rows = filters.one_of(star.extracciones, "id", extraction_ids).select(*fields)
+    rows = filters.one_of(star.extracciones, "id", extraction_ids).select(*fields, "folleto_id")
     products = star.extracciones.filter("tipo = 'PRODUCTO'").select(
-        F.col("id").alias("producto_extraccion_id"),
+        "folleto_id", F.col("id").alias("producto_extraccion_id"),
         F.col("texto_raw").alias("producto_texto"),
         F.col("texto_norm").alias("producto_nombre"),
         F.col("metodo_norm").alias("producto_metodo"),
         F.col("bbox_x").alias("producto_x"), F.col("bbox_y").alias("producto_y"))
-    return rows.join(products, "producto_extraccion_id", "left")
+    # a price and its product stand in one flyer: the key a table by flyer is spread by
+    return rows.join(products, ["folleto_id", "producto_extraccion_id"], "left").drop("folleto_id")
 
 
 # -- prices ----------------------------------------------------------------------------
@@ -104,8 +98,7 @@ def current_prices(star: Star, stores=None, categories=None, start=None, end=Non
     kept = top.select("id", "tienda", "producto", "categoria", "precio_actual", "precio_anterior",
                       "descuento_pct", "vigencia_desde", "vigencia_hasta", "confianza_ocr", "pagina_id",
                       "folleto_id", "folleto_id_fuente", "folleto_titulo", "url_origen")
-    few = limit <= MAX_ROWS_SENT
-    return promos.attach_campaigns(attach_page_number(kept, star, few), star.eventos_promo)
+    return promos.attach_campaigns(attach_page_number(kept, star), star.eventos_promo)
 
 
 def price_comparison(star: Star, categories=None, text=None, min_stores: int = 1, with_category=None,
