@@ -61,8 +61,9 @@ def word_pairs(a: DataFrame, b: DataFrame, page: list[str], a_id: str, b_id: str
     """(page, a_id, b_id, similitud) of rows that share a word or one like it.
 
     Both frames have the word list ``_w``.  Like words are found once in the distinct
-    vocabulary; rows meet on (page, word).  The similarity is the F1 of the words that
-    found a partner; repeated words count as often as they occur.
+    vocabulary; rows meet on (page, word), and a common word is as many keys as pages.  The
+    similarity is the F1 of the words that found a partner; repeated words count as often as
+    they occur.
     """
     def words(df: DataFrame, ident: str, name: str) -> DataFrame:
         each = df.select(*page, ident, "_w", F.size("_w").alias(f"n_{name}"), F.explode(F.array_distinct("_w")).alias(name))
@@ -71,7 +72,12 @@ def word_pairs(a: DataFrame, b: DataFrame, page: list[str], a_id: str, b_id: str
 
     ra, rb = words(a, a_id, "wa"), words(b, b_id, "wb")
     like = fuzzy.similar_words(ra.select(F.col("wa").alias("w")), rb.select(F.col("wb").alias("w")))
-    met = ra.join(like, "wa").join(rb, [*page, "wb"])
+    # equal words need no list of like ones; the words of a page are few beside its rows
+    unlike = like.filter("wa <> wb")
+    on_page = rb.select(*page, "wb").distinct().join(unlike, "wb").select(*page, "wa", "wb")
+    same = ra.join(rb.withColumn("wa", F.col("wb")), [*page, "wa"])
+    other = ra.join(on_page, [*page, "wa"]).join(rb, [*page, "wb"])
+    met = same.unionByName(other.select(*same.columns))
     count = lambda c: F.aggregate(F.collect_set(c), F.lit(0), lambda t, s: t + s["m"]).cast("double")
     sums = met.groupBy(*page, a_id, b_id).agg(
         (count("m_wa") / F.first("n_wa")).alias("_p"), (count("m_wb") / F.first("n_wb")).alias("_q"))
@@ -134,14 +140,18 @@ def price_signatures(price: Column) -> Column:
     return F.filter(F.array(full, short), lambda s: s.isNotNull())
 
 
+def _parts(text: Column, size: int) -> Column:
+    """Every run of ``size`` characters."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def _digit_runs(text: Column, lengths: list[int]) -> Column:
     """Every run of so many digits inside those of a text, so that "contains" becomes equality."""
     digits = F.regexp_replace(F.coalesce(text, F.lit("")), r"\D", "")
-    n = F.length(digits)
-    none = F.array().cast("array<string>")
-    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(digits, i, F.lit(k)))).otherwise(none)
-            for k in lengths]
-    return F.array_distinct(F.flatten(F.array(*runs))) if runs else none
+    runs = [_parts(digits, k) for k in lengths]
+    return F.array_distinct(F.flatten(F.array(*runs))) if runs else F.array().cast("array<string>")
 
 
 def holding_signature(texts: DataFrame, signed: DataFrame, page: list[str], text_id: list[str], sign_id: list[str],
@@ -391,12 +401,9 @@ def error_examples(cases: DataFrame, per_group: int = 10) -> DataFrame:
 
 # -- field comparison ------------------------------------------------------------------------
 
-def _pieces(word: Column) -> Column:
-    """Every part of three or more letters of a word."""
-    n = F.length(word)
-    starts = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(3), n - i + 1), lambda k: F.substring(word, i, k))))
+def _pieces(word: Column, lengths: list[int]) -> Column:
+    """Every part of a word that has one of so many letters."""
+    return F.flatten(F.array(*[_parts(word, k) for k in lengths])) if lengths else F.array().cast("array<string>")
 
 
 def recall_in_corpus(items: DataFrame, text: str, corpus: DataFrame, page: list[str], item_id: list[str],
@@ -404,13 +411,15 @@ def recall_in_corpus(items: DataFrame, text: str, corpus: DataFrame, page: list[
     """Share of the telling words of each item that the texts of its page hold.
 
     A telling word has no space, so it lies inside one word of the corpus; "contains" on
-    the whole page text becomes an equality join on parts of its distinct words.
+    the whole page text becomes an equality join on parts of its distinct words, in the
+    lengths that are asked for.
     """
     key = [*page, *item_id]
     told = items.select(*key, F.posexplode(significant_words(F.coalesce(F.col(text), F.lit("")))).alias("_k", "_t"))
     words = corpus.select(*page, F.explode(words_of(base_text(F.coalesce(F.col(corpus_text), F.lit(""))))).alias("_w"))
     wanted = told.select(*page, F.col("_t")).distinct()
-    parts = words.distinct().select(*page, F.explode(F.array_distinct(_pieces(F.col("_w")))).alias("_t"))
+    lengths = sorted(r["n"] for r in wanted.select(F.length("_t").alias("n")).distinct().collect())
+    parts = words.distinct().select(*page, F.explode(F.array_distinct(_pieces(F.col("_w"), lengths))).alias("_t"))
     held = wanted.join(parts, [*page, "_t"], "left_semi").withColumn("_h", F.lit(1))
     share = told.join(held, [*page, "_t"], "left").groupBy(*key).agg(
         (F.count("_h").cast("double") / F.count(F.lit(1))).alias("cobertura"))

@@ -109,10 +109,11 @@ def write_buckets(rows: DataFrame, path: str, key: str = "folleto_id", buckets:
     """Rewrites only the buckets of the given flyers.
 
     ``rows`` must hold every row of the touched buckets.  Whole partitions are swapped, so
-    a failed load leaves the previous ones in place.
+    a failed load leaves the previous ones in place.  ``buckets`` is fixed when the table is
+    made; a large bucket is written by many tasks.
     """
     marked = rows.withColumn("cubeta", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    marked.repartition("cubeta").write.mode("overwrite").option(
+    marked.hint("rebalance", "cubeta").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("cubeta").parquet(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,17 +13,16 @@ LANDED = ("fuente string, tienda string, folleto_id string, titulo string, fecha
           "total_paginas int, url_folleto string, landed_at timestamp")
 
 
-def landed_flyers(spark: SparkSession, path: str, delay: str = "2 days", files_per_batch: int = 1000) -> DataFrame:
-    """Stream of landed flyers, each key once within the watermark.
+def landed_flyers(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of every landed version of every flyer; the upsert chooses the newest."""
+    return spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files_per_batch).json(path)
 
-    A flyer that lands again after the watermark passes through; the upsert that follows
-    is idempotent, so it does no harm.
-    """
-    rows = (
-        spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files_per_batch).json(path)
-        .withWatermark("landed_at", delay)
-    )
-    return rows.dropDuplicatesWithinWatermark(["fuente", "folleto_id"])
+
+def newest(rows: DataFrame, keys: list[str], at: str = "landed_at") -> DataFrame:
+    """One row per key: the version that landed last, by its other columns on a tie."""
+    rest = [c for c in rows.columns if c not in (*keys, at)]
+    last = F.max(F.struct(at, *rest))
+    return rows.groupBy(*keys).agg(last.alias("_v")).select(*keys, "_v.*").select(*rows.columns)
 
 
 def load_available(flyers: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -36,23 +36,39 @@ def load_available(flyers: DataFrame, upsert: Callable[[DataFrame, int], None],
     )
 
 
-def parquet_upsert(table: str, merge: Callable[[DataFrame, DataFrame], DataFrame], empty: Callable[[SparkSession], DataFrame]
-                   ) -> Callable[[DataFrame, int], None]:
-    """Upsert into versioned Parquet folders: batch ``n`` reads version ``n - 1`` and writes ``n``.
+def parquet_upsert(table: str, merge: Callable[[DataFrame, DataFrame], DataFrame], empty: Callable[[SparkSession], DataFrame],
+                   keys: tuple[str, ...] = ("fuente", "folleto_id"), buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """Upsert into a Parquet table whose partitions are buckets of the key.
 
-    Writing a version twice gives the same content, so a repeated batch is harmless, and
-    readers never see a half-written table.
+    A batch reads and swaps only the buckets of its keys; the others are not touched.  Of
+    several versions the newest is merged, and one older than the table's own is left out where
+    the table keeps ``landed_at``.  So a batch that comes again, a new stream checkpoint and
+    files in any order give the same table.  ``buckets`` is fixed when the table is made; a
+    large bucket is written by many tasks.
     """
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        existing = spark.read.parquet(f"{table}/v={number - 1}") if number > 0 else empty(spark)
-        merge(existing, batch).write.mode("overwrite").parquet(f"{table}/v={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        rows = newest(batch, list(keys))
+        touched = [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        try:
+            old = spark.read.parquet(table).filter(F.col("cubeta").isin(touched)).drop("cubeta")
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            old = empty(spark)
+        if "landed_at" in old.columns:
+            kept = old.select(*keys, F.col("landed_at").alias("_at"))
+            rows = rows.join(kept, list(keys), "left").filter("_at IS NULL OR landed_at >= _at").drop("_at")
+        merged = merge(old, rows).withColumn("cubeta", bucket)
+        merged.hint("rebalance", "cubeta").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("cubeta").parquet(table)
 
     return run
 
 
 def latest_version(spark: SparkSession, table: str) -> DataFrame:
-    """Newest version of a table written by :func:`parquet_upsert`."""
-    all_versions = spark.read.parquet(table)
-    newest = all_versions.agg(F.max("v")).first()[0]
-    return all_versions.filter(F.col("v") == newest).drop("v")
+    """The table written by :func:`parquet_upsert`."""
+    return spark.read.parquet(table).drop("cubeta")

@@ -220,3 +220,31 @@ def test_field_scores(spark):
     assert (row["productos_total"], row["productos_ocr_ok"], row["productos_nlp_ok"]) == (2, 2, 1)
     assert (row["precios_total"], row["precios_ok"], row["precios_mal_clasificados"]) == (2, 1, 1)
     assert (row["promos_ok"], row["productos_nlp_correctos"], row["precios_nlp_correctos"], row["promos_nlp_correctos"]) == (1, 1, 1, 1)
+
+
+def test_similar_words_of_any_length(spark):
+    """Random edits of random words, and tokens of 200 letters, against all pairs."""
+    import random
+    rng = random.Random(5)
+    words = {"".join(rng.choices("aeioulmnrst", k=rng.randint(1, 14))) for _ in range(60)}
+    words |= {"".join(rng.choices("abcdefghij", k=200)), "a" * 200}
+    for w in sorted(words):
+        letters = list(w)
+        for _ in range(max(1, len(w) // 9)):
+            k = rng.randrange(len(letters))
+            rng.choice((lambda: letters.pop(k), lambda: letters.insert(k, "x"), lambda: letters.__setitem__(k, "y")))()
+            letters = letters or ["z"]
+        words.add("".join(letters))
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for edits in (False, True):
+        got = {(r["wa"], r["wb"]) for r in fuzzy.similar_words(df, df, edits=edits).collect()}
+        want = {(a, b) for a in words for b in words if a == b or min(len(a), len(b)) >= 4 and (
+            fuzzy.indel_ratio(a, b) >= 85 or edits and min(len(a), len(b)) >= 6 and fuzzy.edit_similarity(a, b) >= 0.78)}
+        assert got == want, sorted(got ^ want)[:5]
+
+
+def test_recall_with_long_words_and_parts(spark):
+    items = spark.createDataFrame([("p", 1, "leche entera"), ("p", 2, "z" * 150), ("p", 3, "queso")], "pagina string, id int, producto string")
+    corpus = spark.createDataFrame([("p", "superlecheentera"), ("p", "w" * 300 + "z" * 160), ("p", "ques o")], "pagina string, texto string")
+    got = {r["id"]: r["cobertura"] for r in E.recall_in_corpus(items, "producto", corpus, ["pagina"], ["id"]).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 0.0}

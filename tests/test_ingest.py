@@ -211,3 +211,19 @@ def test_pending_work(spark):
     a = spark.createDataFrame([("t", "1"), ("t", "2"), ("o", "1")], "fuente string, folleto_id string")
     b = spark.createDataFrame([("t", "1"), ("t", "1")], "fuente string, folleto_id string")
     assert {tuple(r) for r in ingest.pending(a, b).collect()} == {("t", "2"), ("o", "1")}
+
+
+def test_newest_landed_version_wins(spark, tmp_path):
+    """Versions in any order, within a batch and over batches, and the same files again."""
+    table, schema = str(tmp_path / "t"), "fuente string, folleto_id string, titulo string, landed_at timestamp"
+    keys = ["fuente", "folleto_id"]
+    upsert = landing.parquet_upsert(
+        table, lambda old, new: ingest.merge(old, new.select(*old.columns), keys, ["titulo"], update=("titulo", "landed_at")),
+        lambda s: s.createDataFrame([], schema), buckets=3)
+    batches = [[("1", "a", "2026-01-02"), ("1", "b", "2026-01-03"), ("2", "x", "2026-01-01")],
+               [("1", "alt", "2026-01-01"), ("3", "n", "2026-01-01")], [("2", "y", "2026-02-01")], []]
+    for number, rows in enumerate([*batches, batches[0], batches[1]]):
+        frame = spark.createDataFrame([("t", *r) for r in rows], "fuente string, folleto_id string, titulo string, landed_at string")
+        upsert(frame.withColumn("landed_at", F.col("landed_at").cast("timestamp")), number % 2)
+    got = {r["folleto_id"]: r["titulo"] for r in landing.latest_version(spark, table).collect()}
+    assert got == {"1": "b", "2": "y", "3": "n"}
