@@ -243,7 +243,15 @@ def _(spark, sf):
     return association.regions_with_price(_regions(spark, sf), prices, PAGE)
 
 
-@check("outer_regions")
+_AREA = "least(a.ancho * a.alto, b.ancho * b.alto)"
+
+
+@check("outer_regions", _with({**CELLS, "todas": f"""SELECT * FROM ({_REGION}) UNION ALL
+    SELECT pagina, region + 100000, x + 10, y + 10, ancho - 200, alto - 60 FROM ({_REGION})"""},
+    f"""SELECT a.* FROM todas a WHERE NOT EXISTS (SELECT 1 FROM todas b WHERE b.pagina = a.pagina
+        AND ROW(-b.ancho * b.alto, b.region) < ROW(-a.ancho * a.alto, a.region)
+        AND greatest(0, least(a.x + a.ancho, b.x + b.ancho) - greatest(a.x, b.x))
+            * greatest(0, least(a.y + a.alto, b.y + b.alto) - greatest(a.y, b.y)) >= 0.85 * {_AREA})"""))
 def _(spark, sf):
     inner = _regions(spark, sf).selectExpr("pagina", "region + 100000 AS region", "x + 10 AS x", "y + 10 AS y",
                                            "ancho - 200 AS ancho", "alto - 60 AS alto")
@@ -303,7 +311,22 @@ def _(spark, sf):
 
 # -- names ----------------------------------------------------------------------------------------
 
-@check("normalized_names")
+# the catalogue's forms are the part names: a name is found, one with a size too, one after another word is not
+_NORMALIZED = """SELECT texto, kind AS metodo_norm, false AS descartado,
+    CASE WHEN kind = 'heuristico' THEN array_to_string(list_transform(string_split(lower(texto), ' '), lambda w: upper(w[1]) || w[2:]), ' ')
+        ELSE titulo END AS nombre_canonico,
+    CASE WHEN kind = 'heuristico' THEN 0e0 ELSE 1e0 END AS confianza_norm,
+    CASE WHEN kind = 'heuristico' THEN (SELECT min(ROW(-length(n), n)) FROM nouns WHERE regexp_matches(lower(texto), '\\b' || n || '\\b'))[2]
+        ELSE split_part(nombre, ' ', 2) END AS categoria,
+    CASE WHEN regexp_matches(lower(texto), '\\bcold\\b') THEN 'Cold' WHEN regexp_matches(lower(texto), '\\bhot\\b') THEN 'Hot' END AS marca
+    FROM (SELECT DISTINCT texto, nombre, array_to_string(list_transform(string_split(nombre, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS titulo,
+            CASE WHEN starts_with(texto, 'Oferta ') THEN 'heuristico' WHEN regexp_matches(texto, ' \\d+ g$') THEN 'fuzzy' ELSE 'exacto' END AS kind
+          FROM (SELECT texto, regexp_replace(regexp_replace(lower(texto), '^oferta ', ''), ' \\d+ g$', '') AS nombre FROM nombres))"""
+
+
+@check("normalized_names", _with({**CELLS, "nouns": "SELECT unnest([" + ", ".join(f"'{n}'" for n in NOUNS) + "]) AS n"},
+    "SELECT * REPLACE (CASE WHEN metodo_norm = 'heuristico' THEN 'cat_' || categoria ELSE categoria END AS categoria) FROM ("
+    + _NORMALIZED + ")"))
 def _(spark, sf):
     texts = _slot(spark, sf, "nombres").select("texto").distinct()
     return _normalizer(spark, sf)(texts).drop("alias_nuevo")
