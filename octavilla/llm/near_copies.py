@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table, whole_text
+from .common import components, held_by_worker, stored, table, texts_of, whole_text
 from .tokens import in_portions
 from .toxicity import EDGES
 
@@ -22,7 +22,7 @@ ROWS, BANDS = 5, 20
 #: Slots in which document frequencies of words are counted: 4 MB at any size of the corpus.
 SLOT_BITS = 20
 #: Distinct written words a worker remembers; shingles sampled at once.
-MOST_WORDS, AT_ONCE = 500_000, 256
+MOST_WORDS, AT_ONCE = 400_000, 256
 _QUANTILES = 1 << 14
 
 
@@ -35,13 +35,8 @@ class _Hashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
-
-
 def word_hashes(text: str) -> np.ndarray:
-    known = _hashes()
+    known = held_by_worker(_Hashes, _Hashes)
     if len(known) > MOST_WORDS:
         known.clear()
     words = text.lower().split()
@@ -137,15 +132,15 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
     def count(batches):
         seen, rows = np.zeros(1 << SLOT_BITS, np.int64), 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 seen[np.unique((word_hashes(text) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))] += 1
                 rows += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], rows))], names=["slot", "n"])
 
-    found = docs.select(whole_text().alias("text")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(whole_text().alias("text")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(1 << SLOT_BITS)
-    slot, n = found["slot"].to_numpy(np.int64), found["n"].to_numpy(float)
+    slot, n = found["slot"].to_numpy(), found["n"].to_numpy().astype(float)
     df[slot[slot >= 0]] = n[slot >= 0]
     return (np.log((1 + n[slot < 0].sum()) / (1 + df)) + 1).astype(np.float32)
 
@@ -155,7 +150,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     def sign(batches):
         for batch in batches:
             ids, at = batch.column("doc_id").to_pylist(), 0
-            for texts in in_portions(batch.column("text").to_pylist()):
+            for texts in in_portions(texts_of(batch.column("text"))):
                 rows = []
                 for node, text in zip(ids[at:], texts):
                     s, w = shingles(text, idf.value)
@@ -191,15 +186,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return both.select("a", "b", measure("text_a", "text_b").alias("similarity"))
 
 
+def _prefixes(texts: DataFrame, parts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(node, component, run, rest, total): the rarest runs of each text.
+
+    ``rest`` is the weight of a run and of all commoner ones, ``total`` that of all.  Two texts of
+    similarity t share a weight of t times either total at least; so the rarest run they share
+    has a ``rest`` of that much in both, and runs with less need not meet.
+    """
+    def read(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                runs = [shingles(t, idf.value) for t in part.column("text").to_pylist()]
+                size = [len(r[0]) for r in runs]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column("node").to_numpy(), size)), pa.array(np.repeat(part.column("tid").to_numpy(), size)),
+                     pa.array(np.concatenate([r[0] for r in runs]).view(np.int64)), pa.array(np.concatenate([r[1] for r in runs]))],
+                    names=["node", "tid", "run", "w"])
+
+    def cut(frames):
+        for frame in frames:
+            for node, component, runs in zip(frame["node"], frame["component"], frame["runs"]):
+                w = np.array([r["w"] for r in runs], float)
+                left = w[::-1].cumsum()[::-1]
+                n = int((left >= threshold * left[0] - 1e-6).sum())
+                yield pd.DataFrame({"node": node, "component": component, "run": [r["run"] for r in runs[:n]],
+                                    "rest": left[:n], "total": left[0]})
+
+    rows = texts.select("text", "node", F.hash("text").alias("tid"))  # one id may have several texts
+    rows = stored(rows.mapInArrow(read, "node long, tid int, run long, w float"), "runs")
+    often = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    # a text's runs are as many as its words
+    listed = rows.join(often, "run").groupBy("node", "tid").agg(F.sort_array(F.collect_list(F.struct("n", "run", "w"))).alias("runs"))
+    listed = listed.join(parts, "node").select("node", "component", "runs")
+    return listed.mapInPandas(cut, "node long, component long, run long, rest double, total double")
+
+
+def _close(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different components that may reach ``threshold``; none that does is missing.
+
+    At the rarest run they share, what is left of either bounds the weight shared.  Only
+    texts outside a run's largest component ask, so near copies are not paired with each other.
+    """
+    counts = prefixes.groupBy("run", "component").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("run").agg(F.max_by("component", F.struct("n", "component")).alias("top"),
+                                     F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("run", "top")
+    met = prefixes.join(tops, "run")
+    columns = ("node", "component", "rest", "total")
+    asking = met.filter("component <> top").select("run", "top", *[F.col(c).alias(f"{c}_a") for c in columns])
+    asked = met.select("run", *[F.col(c).alias(f"{c}_b") for c in columns])
+    enough = F.least("rest_a", "rest_b") >= (F.col("total_a") + F.col("total_b")) * (threshold / (1 + threshold)) - 1e-6
+    found = asking.join(asked, (asking["run"] == asked["run"]) & (F.col("component_a") != F.col("component_b"))
+                        & ((F.col("component_b") == F.col("top")) | (F.col("node_a") < F.col("node_b"))) & enough)
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_copy_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) per row: the smallest id that links of at least ``threshold`` lead to.
 
     Equal texts are one node from the start, and only different texts are compared.  In every
-    bucket of a band all members are verified against the smallest one.  Distance, 1 - weighted
-    Jaccard, is a metric; so two members whose distances to that one differ by more than
-    1 - threshold are no link, and neither are two whose total weights differ too much.  All
-    other pairs of a bucket that the links so far do not already join are verified too: no
-    candidate is dropped, and the pairs of a group of near copies are never written out.
+    bucket of a band all members are verified against the smallest one.  What these links do
+    not join may still be near: members of buckets that hold several components.  Among those
+    texts an exact join takes over, band or no band: they meet on their rarest runs, and where
+    what is left of either text could still be shared, the pair is verified.  Texts that merely
+    hold one common passage, or copies of one text with many changes each, have rare runs of
+    their own and do not meet.
 
     A null or empty text has no shingle and is a copy of other such texts only.  Rows with one
     id are one node.  A null ``doc_id`` joins the class of equal texts, else its class is null.
@@ -221,18 +272,12 @@ def near_copy_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     links = known.filter(F.col("similarity") >= threshold).select("a", "b")
     classes = stored(components(links, "a", "b"), "classes")
 
-    far = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("d"))
-    far = far.groupBy("pivot", "node").agg(F.min("d").alias("d"))
-    placed = (members.filter("node <> pivot").join(far, ["pivot", "node"]).join(classes, "node", "left")
-              .select("key", "node", "weight", "d", F.coalesce("component", "node").alias("component")))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    placed = stored(placed.join(mixed, "key", "left_semi"), "placed")
-    a, b = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "weight", "d", "component")]) for s in "ab")
-    slack = 1e-6
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-                  & (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - threshold + slack)
-                  & (F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (threshold - slack)))
-    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    others = members.filter("node <> pivot").select("key", "node").join(classes, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    unsettled = stored(others.join(mixed, "key", "left_semi").select("node", "component").distinct(), "unsettled")
+    rest = _close(stored(_prefixes(texts.join(unsettled, "node", "left_semi"), unsettled, idf, threshold), "prefixes"), threshold)
+    rest = rest.join(known.select("a", "b"), ["a", "b"], "left_anti")
     more = stored(_verified(rest, texts, idf).filter(F.col("similarity") >= threshold).select("a", "b"), "links")
     if not more.isEmpty():
         classes = components(links.unionByName(more), "a", "b")
