@@ -340,6 +340,19 @@ def _(spark, sf):
         "texto", WORDS.category(F.col("texto")).alias("categoria"))
 
 
+@check("word_categories_by_table", _with(CELLS, "SELECT DISTINCT texto, CASE " + " ".join(
+    f"WHEN contains(lower(texto), '{w}') THEN 'cat_{w}'" for w in sorted(NOUNS, key=len, reverse=True))
+    + " WHEN contains(lower(texto), 'hot') THEN 'marca' END AS categoria, contains(lower(texto), 'anvil') AS es_atributo FROM nombres"))
+def _(spark, sf):
+    # the words are those of the parts: a table that grows with them
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    each = part.select(F.explode(F.split("p_name", " ")).alias("palabra")).distinct()
+    words = each.filter(F.col("palabra").isin(*NOUNS)).select(
+        "palabra", F.concat(F.lit("cat_"), "palabra").alias("categoria"), F.lit(1).alias("orden"))
+    brands = each.filter("palabra = 'hot'").select("palabra", F.lit("marca").alias("categoria"), F.lit(1).alias("orden"))
+    return naming.categories(_slot(spark, sf, "nombres"), "texto", words, brands, "cat_anvil")
+
+
 @check("title_case", _with(CELLS, """SELECT DISTINCT texto, array_to_string(list_transform(string_split(lower(texto), ' '),
     lambda w, i: CASE WHEN i > 1 AND w IN ('de','del','la','las','el','los','y','en','con','sin') THEN w
     ELSE upper(w[1]) || w[2:] END), ' ') AS titulo FROM nombres"""))
