@@ -72,7 +72,7 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, columns: list[str], mo
                 yield part[columns].assign(x=[r.tobytes() for r in x])
 
     schema = ", ".join(f"{c} {chosen.schema[c].dataType.simpleString()}" for c in columns)
-    return texts.select("_text", *columns).mapInPandas(features, f"{schema}, x binary").toPandas()
+    return texts.select("_text", *columns).mapInPandas(features, f"{schema}, x binary").toArrow().to_pandas()
 
 
 def feature_matrix(sample: pd.DataFrame) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table, whole_text
+from .common import bounded_sample, table, texts_of, whole_text
 from .models import sigmoid
 from .tokens import in_portions
 
@@ -40,7 +40,7 @@ BEGINNINGS = (4, 5)
 SAMPLE = 10_000
 CHOSEN = 1500
 #: Distinct written words a worker remembers before it starts anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 400_000
 
 _SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_].*[0-9@$!|+€£(¡]|[0-9@$|€£(¡].*[^\W\d_]|^(?:\w[.\-_*~']){2,}\w$")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:[ \t](?:[^\W_]|[@$!|+€£])){2,}(?=\s|[.,;:?!]|$)")
@@ -132,7 +132,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                                               names=["word", "n"])
 
         for batch in batches:
-            for texts in in_portions(batch.column("text").to_pylist()):
+            for texts in in_portions(texts_of(batch.column("text"))):
                 for text in texts:
                     seen.update(text.lower().split())
                 if len(seen) > MOST_WORDS:
@@ -165,9 +165,9 @@ def fit_characters(docs: DataFrame) -> CharacterModel:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at.astype(np.int32), "w": total[at]})
 
-    rows = (word_counts(docs).mapInPandas(grams, "gram int, w double").groupBy("gram").agg(F.sum("w").alias("w"))).toPandas()
+    rows = (word_counts(docs).mapInPandas(grams, "gram int, w double").groupBy("gram").agg(F.sum("w").alias("w"))).toArrow()
     counts = np.zeros(ALPHABET**ORDER)
-    counts[rows["gram"].to_numpy(int)] = rows["w"].to_numpy()
+    counts[rows["gram"].to_numpy()] = rows["w"].to_numpy()
     return CharacterModel(counts)
 
 
@@ -256,8 +256,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, model: CharacterModel) ->
             yield pd.DataFrame({"toxic": frame["toxic"].astype("int32"), "slots": [
                 np.array(sorted(reader.read(t)), np.int32).tobytes() for t in frame["text"]]})
 
-    rows = texts.mapInPandas(read, "toxic int, slots binary").toPandas()
-    return fit_scorer([np.frombuffer(b, np.int32) for b in rows["slots"]], rows["toxic"].to_numpy(int))
+    rows = texts.mapInPandas(read, "toxic int, slots binary").toArrow()
+    return fit_scorer([np.frombuffer(b.as_buffer(), np.int32) for b in rows["slots"]], rows["toxic"].to_numpy())
 
 
 def _model_of(log_p: np.ndarray) -> CharacterModel:
