@@ -13,6 +13,7 @@ import heapq
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, whole_text
+from .common import stored, table, texts_of
 
 LENGTH, GRAM = 400, 128
 #: Bytes of text scanned at once; a longer document is scanned in overlapping parts.
@@ -86,8 +87,8 @@ def suffix_tuples(rows: DataFrame) -> DataFrame:
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")]
             held: list[tuple[int, int, bytes]] = []
             size = 0
-            for row, text in enumerate(batch.column("text")):
-                data = text.as_py().encode("utf-8", "surrogatepass")
+            for row, text in enumerate(texts_of(batch.column("text"))):
+                data = text.encode("utf-8", "surrogatepass")
                 for base in range(0, max(len(data) - LENGTH + 1, 0), SCAN // 2):
                     part = data[base:base + SCAN // 2 + LENGTH - 1]
                     if size + len(part) > SCAN // 2 and held:
@@ -190,7 +191,7 @@ class Shard:
         runs = [sorted(range(a, min(a + RUN, len(self.sizes))), key=self._right) for a in range(0, len(self.sizes), RUN)]
         merged = iter(runs[0]) if len(runs) == 1 else heapq.merge(*runs, key=self._right)
         last = b""
-        while part := [i for i, _ in zip(merged, range(RUN - 1))] if len(runs) > 1 else list(merged):
+        while part := list(islice(merged, RUN)):
             rights = [last, *map(self._right, part)]
             size = np.array([len(r) for r in rights])
             grid = np.frombuffer(b"".join(r.ljust(LENGTH, b"\0") for r in rights), np.uint8).reshape(len(rights), -1)
@@ -388,7 +389,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for text, spans in zip(texts_of(batch.column("text")), batch.column("spans").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 gone = merged((s["lo"], s["hi"]) for s in spans or ())
                 ends = [0, *(x for run in gone for x in run), len(data)]
