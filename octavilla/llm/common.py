@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that go to Python at once: they hold whole texts, so fewer than Spark's usual 10,000.
+ROWS_AT_ONCE = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table; a session that has not chosen the size of Arrow batches gets smaller ones."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, ROWS_AT_ONCE)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +43,27 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held_by_worker(key, make: Callable):
+    """What ``make`` gives, kept by a Python worker for its later tasks of the same kind.
+
+    Another key lets go of it: a worker that serves several operators in turn keeps the
+    memory of one.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def texts_of(column) -> Iterator[str]:
+    """The texts of an Arrow column, a few at a time, so that a batch is not held twice."""
+    for k in range(0, len(column), 64):
+        yield from column.slice(k, 64).to_pylist()
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

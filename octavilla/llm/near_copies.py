@@ -22,7 +22,7 @@ ROWS, BANDS = 5, 20
 #: Slots in which document frequencies of words are counted: 4 MB at any size of the corpus.
 SLOT_BITS = 20
 #: Distinct written words a worker remembers; shingles sampled at once.
-MOST_WORDS, AT_ONCE = 400_000, 256
+MOST_WORDS, AT_ONCE = 250_000, 256
 _QUANTILES = 1 << 14
 
 
@@ -204,14 +204,24 @@ def _prefixes(texts: DataFrame, parts: DataFrame, idf, threshold: float) -> Data
                      pa.array(np.concatenate([r[0] for r in runs]).view(np.int64)), pa.array(np.concatenate([r[1] for r in runs]))],
                     names=["node", "tid", "run", "w"])
 
-    def cut(frames):
-        for frame in frames:
-            for node, component, runs in zip(frame["node"], frame["component"], frame["runs"]):
-                w = np.array([r["w"] for r in runs], float)
-                left = w[::-1].cumsum()[::-1]
+    def cut(batches):
+        for batch in batches:
+            lists = batch.column("runs")
+            runs, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+            weight, ids = runs.field("w").to_numpy().astype(float), runs.field("run").to_numpy()
+            kept, rest, total, size = [], [], [], []
+            for start, end in zip(np.append(0, ends[:-1]), ends):
+                left = weight[start:end][::-1].cumsum()[::-1]
                 n = int((left >= threshold * left[0] - 1e-6).sum())
-                yield pd.DataFrame({"node": node, "component": component, "run": [r["run"] for r in runs[:n]],
-                                    "rest": left[:n], "total": left[0]})
+                kept.append(ids[start:start + n])
+                rest.append(left[:n])
+                size.append(n)
+                total.append(left[0])
+            if size:
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("node", "component")],
+                     pa.array(np.concatenate(kept)), pa.array(np.concatenate(rest)), pa.array(np.repeat(total, size))],
+                    names=["node", "component", "run", "rest", "total"])
 
     rows = texts.select("text", "node", F.hash("text").alias("tid"))  # one id may have several texts
     rows = stored(rows.mapInArrow(read, "node long, tid int, run long, w float"), "runs")
@@ -219,7 +229,7 @@ def _prefixes(texts: DataFrame, parts: DataFrame, idf, threshold: float) -> Data
     # a text's runs are as many as its words
     listed = rows.join(often, "run").groupBy("node", "tid").agg(F.sort_array(F.collect_list(F.struct("n", "run", "w"))).alias("runs"))
     listed = listed.join(parts, "node").select("node", "component", "runs")
-    return listed.mapInPandas(cut, "node long, component long, run long, rest double, total double")
+    return listed.mapInArrow(cut, "node long, component long, run long, rest double, total double")
 
 
 def _close(prefixes: DataFrame, threshold: float) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, whole_text
+from .common import stored, table, texts_of, whole_text
 from .tokens import encoder, in_portions
 
 #: Rows of one length that one task ranks.
@@ -25,7 +25,7 @@ def token_pieces(docs: DataFrame, file: str, end: int, capacity: int) -> DataFra
         own = encoder(file, end)
         for batch in batches:
             ids, at = batch.column("doc_id").to_pylist(), 0
-            for texts in in_portions(batch.column("text").to_pylist()):
+            for texts in in_portions(texts_of(batch.column("text"))):
                 tokens, offsets = own.encode(texts)
                 tokens, rows = tokens.astype("<u4"), []
                 for doc_id, a, b in zip(ids[at:], offsets.tolist(), offsets[1:].tolist()):

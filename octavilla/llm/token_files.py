@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table, whole_text
+from .common import shared_folder, table, texts_of, whole_text
 from .tokens import encoder, in_portions
 
 _SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, tokens array<int>"
@@ -32,7 +32,7 @@ def write_token_files(docs: DataFrame, path: str, file: str, end: int, row_group
         own, part, before = encoder(file, end), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, at = batch.column("doc_id"), 0
-            for texts in in_portions(batch.column("text").to_pylist()):
+            for texts in in_portions(texts_of(batch.column("text"))):
                 tokens, offsets = own.encode(texts)
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(

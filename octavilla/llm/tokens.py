@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
+from .common import held_by_worker
+
 # Letters and numbers up to U+017F, and the split patterns of the two vocabularies.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼½¾"
@@ -24,7 +25,7 @@ _UNUSUAL = re.compile("[^\t\n\r -~¡-ſ]|İ")
 _ODD_SPACES = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 #: Pieces a worker remembers.  When they are reached, those met only once are forgotten.
-MOST_PIECES = 800_000
+MOST_PIECES = 500_000
 #: Longer pieces (no prose has them) are encoded each time and never kept.
 LONGEST_PIECE = 64
 
@@ -145,10 +146,9 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
 def encoder(file: str, end: int) -> Encoder:
     """The worker's encoder; what it has learnt serves its later tasks."""
-    return Encoder(file, end)
+    return held_by_worker((Encoder, file, end), lambda: Encoder(file, end))
 
 
 def in_portions(texts: Iterable[str], characters: int = 1 << 20) -> Iterator[list[str]]:
