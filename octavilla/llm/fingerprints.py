@@ -16,6 +16,8 @@ _LOW = 24
 _HIGH = -(1 << _LOW)
 #: Rows whose ids one task sorts, and quantiles of ids that reach the driver at most.
 ROWS_SORTED, QUANTILES = 2000, 1024
+#: First rows of buckets (24 bytes each) that are sent to all tasks at most; more are joined by a shuffle.
+MOST_SENT = 100_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,13 +104,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(bins == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / bins)
 
 
-def with_next(rows: DataFrame, key: str, tie: str, carried: list[str], per_bucket: int = ROWS_SORTED) -> DataFrame:
+def with_next(rows: DataFrame, key: str, tie: str, carried: list[str], per_bucket: int = ROWS_SORTED,
+              derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Adds ``next_<c>`` of each carried column: of the row next in descending ``key``, the first after the last.
 
     Ids are dealt into buckets that follow their order: between quantiles, of which the driver
     gets a bounded number, by an even division.  A bucket is sorted by one task, and its last
-    row takes the first row of the next bucket that has one.  Equal ids are ordered by ``tie``,
-    null ids come last.
+    row takes the first row of the next bucket that has one; which rows come first is found
+    among narrow ones.  Equal ids are ordered by ``tie``, null ids come last.  ``derive`` adds
+    columns to be carried.
     """
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
         key, F.lit([i / QUANTILES for i in range(QUANTILES + 1)]), 10_000).alias("q")).first()
@@ -125,12 +129,19 @@ def with_next(rows: DataFrame, key: str, tie: str, carried: list[str], per_bucke
     lo, hi = F.get(limits, F.col("_cell") - 1), F.get(limits, F.col("_cell"))
     share = (F.col(key) - lo).cast("double") / (hi - lo)
     sub = F.coalesce(F.floor(share * parts), F.lit(0)).cast("int") if cuts else F.lit(0)
-    dealt = rows.withColumn("_cell", cell).withColumn("_sub", sub)
+    narrow = rows.select(key, tie).withColumn("_cell", cell).withColumn("_sub", sub)
+    dealt = derive(rows).withColumn("_cell", cell).withColumn("_sub", sub)
 
     here = Window.partitionBy("_cell", "_sub").orderBy(F.col(key).desc_nulls_last(), F.col(tie))
-    ordered = dealt.withColumns({"_rank": F.row_number().over(here), "_next": F.lead(F.struct(*carried)).over(here)})
-    heads = ordered.filter("_rank = 1").select(F.col("_cell").alias("_c"), F.col("_sub").alias("_s"), F.struct(*carried).alias("_head"))
-    used = rows.select(key).withColumn("_cell", cell).withColumn("_sub", sub).select("_cell", "_sub").distinct()
+    ordered = dealt.withColumn("_next", F.lead(F.struct(*carried)).over(here))
+    best = F.min(F.struct(F.col(key).isNull().alias("none"), F.bitwise_not(key).alias("k"), F.col(tie).alias("t")))
+    firsts = narrow.groupBy("_cell", "_sub").agg(best.alias("f")).select(
+        F.col("_cell").alias("_c"), F.col("_sub").alias("_s"), F.bitwise_not("f.k").alias("_k"), F.col("f.t").alias("_t"))
+    if (len(cuts) + 2) * (parts + 1) <= MOST_SENT:  # one row per bucket
+        firsts = F.broadcast(firsts)
+    heads = rows.join(firsts, F.col(key).eqNullSafe(F.col("_k")) & (F.col(tie) == F.col("_t"))).dropDuplicates(["_c", "_s"])
+    heads = derive(heads).select("_c", "_s", F.struct(*carried).alias("_head"))
+    used = narrow.select("_cell", "_sub").distinct()
     below = used.withColumn("_s", F.lag("_sub").over(Window.partitionBy("_cell").orderBy("_sub")))
     # one row per cell, QUANTILES + 2 at most
     cells = used.groupBy("_cell").agg(F.max("_sub").alias("_top"))
@@ -143,7 +154,7 @@ def with_next(rows: DataFrame, key: str, tie: str, carried: list[str], per_bucke
     first = follows.join(heads, ["_c", "_s"]).select(F.col("_cell").alias("_bc"), F.col("_sub").alias("_bs"), "_head")
     whole = ordered.join(first, (F.col("_cell") == F.col("_bc")) & (F.col("_sub") == F.col("_bs")) & F.col("_next").isNull(), "left")
     after = F.coalesce("_next", "_head")
-    return whole.select(*rows.columns, *[after[c].alias(f"next_{c}") for c in carried])
+    return whole.select(*[c for c in dealt.columns if c not in ("_cell", "_sub")], *[after[c].alias(f"next_{c}") for c in carried])
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -155,8 +166,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     its own next.  Other columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), order_minhash(F.col("text")).alias("marks"))
-    pairs = with_next(rows, "doc_id", "tie", ["text", "marks"])
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    pairs = with_next(rows, "doc_id", "tie", ["text", "marks"],
+                      derive=lambda rows: rows.withColumn("marks", order_minhash(F.col("text"))))
     pairs = pairs.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
