@@ -34,11 +34,16 @@ EDGE = 26
 ORDER = 4
 #: States kept by the decoder after each sign.
 BEAM = 12
-#: Hash slots of words and of their beginnings, labelled rows and features of the scorer at most.
+#: Hash slots of words and of their beginnings, labelled rows of the scorer at most.
 SLOTS = 1 << 20
 BEGINNINGS = (4, 5)
 SAMPLE = 10_000
-CHOSEN = 1500
+#: The scorer's absolute-value penalty, what it adds for a slot in one text, its factor for slots
+#: that speak against toxicity; slots that join at once, and the excess of slope that still counts.
+PENALTY, RARE, AGAINST = 1e-5, 3.0, 30.0
+JOINING, SETTLED = 2000, 1e-2
+#: Entries of the scorer's matrix summed at once.
+AT_ONCE = 1 << 20
 #: Distinct written words a worker remembers before it starts anew.
 MOST_WORDS = 400_000
 
@@ -203,8 +208,10 @@ def held_out(key: str) -> Column:
 def fit_scorer(slots: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) -> dict[int, float]:
     """Slot weights of a logistic regression with an absolute-value penalty; slot -1 is the constant.
 
-    ``slots`` holds the distinct slots of each text.  Those that tell the classes apart best by
-    their log-odds are chosen first.
+    ``slots`` holds the distinct slots of each text, the sparse matrix of the regression.  Every
+    slot may carry weight: those that would lower the penalized loss join the ones in work, which
+    are fitted anew, until no slot is left that would; the penalty alone leaves slots out.  It is
+    larger for slots in few texts and for those that speak against toxicity.
     """
     toxic, rows = toxic.astype(float), len(slots)
     if not rows or toxic.min() == toxic.max():
@@ -215,32 +222,42 @@ def fit_scorer(slots: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) ->
     in_toxic = np.bincount(slot, weights=toxic[doc], minlength=SLOTS)
     in_all = np.bincount(slot, minlength=SLOTS)
     n1, n0 = toxic.sum(), rows - toxic.sum()
-    odds = np.log((in_toxic + 0.1) / (n1 + 0.2)) - np.log((in_all - in_toxic + 0.1) / (n0 + 0.2))
-    gain = np.where(in_all >= 3, np.abs(odds) * np.sqrt(np.maximum(in_toxic, in_all - in_toxic)), 0)
-    gain[odds < 0] *= 0.1
-    chosen = np.argsort(-gain, kind="stable")[:CHOSEN]
-    chosen = chosen[gain[chosen] > 0]
-    column = np.full(SLOTS, -1)
-    column[chosen] = np.arange(len(chosen))
-    x = np.zeros((rows, len(chosen) + 1), np.float32)
-    here = column[slot] >= 0
-    x[doc[here], column[slot[here]]] = 1
-    x[:, -1] = 1
-    penalty = np.full(x.shape[1], 5e-5, np.float32)
-    penalty[-1] = 0
-    # the gradient's slope is at most a quarter of the largest row sum of the Gram matrix
-    step = np.float32(4 * rows / max(float((x.sum(axis=1) @ x).max()), 1.0))
-    w = np.zeros(x.shape[1], np.float32)
-    w[-1] = np.log(n1 / n0)
-    ahead, t = w, 1.0
-    for _ in range(rounds):
-        g = x.T @ ((sigmoid(x @ ahead) - toxic) / rows).astype(np.float32)
-        moved = ahead - step * g
-        new = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
-        faster = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, w, t = new + np.float32((t - 1) / faster) * (new - w), new, faster
-    weights = {int(s): float(v) for s, v in zip(chosen, w) if v}
-    return weights | {-1: float(w[-1])}
+    penalty = PENALTY * (1 + RARE / np.maximum(in_all, 1))
+    penalty[in_toxic * n0 < (in_all - in_toxic) * n1] *= AGAINST
+    w, constant = np.zeros(SLOTS), float(np.log(n1 / n0))
+    z, work = np.full(rows, constant), np.zeros(0, int)
+    while True:
+        miss = (sigmoid(z) - toxic) / rows
+        slope = np.zeros(SLOTS)
+        for k in range(0, len(slot), AT_ONCE):
+            slope += np.bincount(slot[k:k + AT_ONCE], weights=miss[doc[k:k + AT_ONCE]], minlength=SLOTS)
+        over = np.abs(slope) / penalty
+        over[work] = 0
+        asking = np.flatnonzero(over > 1 + SETTLED)
+        if not len(asking):
+            break
+        # slots that lost their weight stay in work, so the work only grows and ends
+        work = np.union1d(work, asking[np.argsort(-over[asking], kind="stable")[:JOINING]])
+        column = np.full(SLOTS, -1, np.int32)
+        column[work] = np.arange(len(work))
+        here = column[slot] >= 0
+        r, c = doc[here].astype(np.intp), column[slot[here]].astype(np.intp)
+        in_row = np.bincount(r, minlength=rows) + 1.0
+        # each slot's slope grows at most by a quarter of its row of the Gram matrix, summed
+        step, constant_step = 4 * rows / np.bincount(c, weights=in_row[r], minlength=len(work)), 4 * rows / in_row.sum()
+        now, ahead, constant_ahead, t = w[work], w[work], constant, 1.0
+        for _ in range(rounds):
+            miss = (sigmoid(np.bincount(r, weights=ahead[c], minlength=rows) + constant_ahead) - toxic) / rows
+            moved = ahead - step * np.bincount(c, weights=miss[r], minlength=len(work))
+            new = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty[work], 0)
+            new_constant = constant_ahead - constant_step * float(miss.sum())
+            faster = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            ahead, constant_ahead = new + (t - 1) / faster * (new - now), new_constant + (t - 1) / faster * (new_constant - constant)
+            now, constant, t = new, new_constant, faster
+        w[work] = now
+        z = np.bincount(r, weights=now[c], minlength=rows) + constant
+    used = np.flatnonzero(w)
+    return dict(zip(used.tolist(), w[used].tolist())) | {-1: constant}
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, model: CharacterModel) -> dict[int, float]:

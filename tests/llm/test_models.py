@@ -190,3 +190,11 @@ def test_character_counts_are_those_of_the_words(spark, words):
         for i in range(len(s) - 3):
             counts[((s[i] * 27 + s[i + 1]) * 27 + s[i + 2]) * 27 + s[i + 3]] += np.log1p(1)
     assert np.allclose(model.log_p, toxicity.CharacterModel(counts).log_p)
+
+
+def test_every_slot_may_carry_weight():
+    """1,800 toxic words, each in two or three texts, and none of them hides another."""
+    words = [k for k in range(1800) for _ in range(3 if k < 1700 else 2)]
+    rows = [np.array([k], np.int32) for k in words] + [np.array([], np.int32)] * len(words)
+    weights = toxicity.fit_scorer(rows, np.repeat([1, 0], len(words)))
+    assert min(weights.get(k, 0) for k in range(1800)) > 0
