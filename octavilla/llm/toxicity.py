@@ -24,16 +24,18 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
         "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 SEPARATORS = " .-_*~'"
 EDGES = ".,;:!?\"'()[]{}<>*&%#~`^=+-_/\\|«»“”„¡¿…"
+#: Punctuation that never stands for a letter.
+ONLY_EDGES = "".join(ch for ch in EDGES if ch not in LEET)
 
 #: Costs of the channel, as negative log probabilities: a sign for a letter, a sign that stands
 #: for nothing, a letter written three times or more for one or two, a letter doubled.
 SIGN_COST, DROP_COST, REPEAT_COST, DOUBLE_COST = 1.0, 6.0, 1.0, 3.0
+#: Punctuation at the edge of a word may as well be a letter as nothing.
+EDGE_COST = 1.0
 #: Symbols of the character model: the letters a to z and the edge of a word.
 ALPHABET = 27
 EDGE = 26
 ORDER = 4
-#: States kept by the decoder after each sign.
-BEAM = 12
 #: Hash slots of words and of their beginnings, labelled rows of the scorer at most.
 SLOTS = 1 << 20
 BEGINNINGS = (4, 5)
@@ -48,7 +50,8 @@ AT_ONCE = 1 << 20
 MOST_WORDS = 400_000
 
 _SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_].*[0-9@$!|+€£(¡]|[0-9@$|€£(¡].*[^\W\d_]|^(?:\w[.\-_*~']){2,}\w$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:[ \t](?:[^\W_]|[@$!|+€£])){2,}(?=\s|[.,;:?!]|$)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£(¡]){1,2}(?:\s+(?:[^\W_]|[@$!|+€£(¡]){1,2}){2,}(?=\s|[.,;:?!)]|$)")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def folded(word: str) -> str:
@@ -59,9 +62,9 @@ def folded(word: str) -> str:
     return "".join(ch for ch in plain if not unicodedata.combining(ch))
 
 
-def core_of(written: str) -> str:
+def core_of(written: str, edges: str = EDGES) -> str:
     """A written word without the punctuation around it."""
-    return re.sub(r"^[$@]{3,}|[$@]{3,}$", "", written.strip(EDGES)).strip(EDGES)
+    return re.sub(r"^[$@]{3,}|[$@]{3,}$", "", written.strip(edges)).strip(edges)
 
 
 class CharacterModel:
@@ -77,48 +80,85 @@ class CharacterModel:
         self.log_p = np.log(p.reshape(-1, ALPHABET)).astype(np.float32)
         self.rows = self.log_p.tolist()
 
-    def decode(self, signs: str) -> str:
-        """The most likely word behind the signs: best path through the lattice of readings.
+    def decode(self, signs: str, edge_cost: float = EDGE_COST) -> str:
+        """The most likely words behind the signs: best path through the lattice of readings.
 
         An arc reads a run of one sign: as its letter, as a letter it may stand for, once or
-        twice, or as nothing.  A path costs its signs and the letters' negative log
-        probabilities, edges included.  Equal costs are resolved by spelling.
+        twice, or as nothing.  Punctuation at either end is as easily nothing as a letter.  Blanks
+        are nothing or the edge of a word, so that signs with blanks may give several words, one
+        blank apart.  A path costs its signs and the letters' negative log probabilities, edges
+        included.  All contexts are kept.  Equal costs are resolved by spelling.
         """
         edge = (EDGE * ALPHABET + EDGE) * ALPHABET + EDGE
-        states: dict[int, tuple[float, str]] = {edge: (0.0, "")}
-        for sign, run in groupby(signs):
-            n = len(list(run))
+        runs = [(sign, len(list(run))) for sign, run in groupby("".join(" " if ch.isspace() else ch for ch in signs))]
+        inner = [i for i, (sign, _) in enumerate(runs) if sign not in EDGES and sign != " "]
+        first, last = (inner[0], inner[-1]) if inner else (len(runs), -1)
+        # a path is its parts from the last one back, so that long runs are not copied at each sign
+        states: dict[int, tuple[float, tuple]] = {edge: (0.0, ())}
+        for i, (sign, n) in enumerate(runs):
+            if sign == " ":
+                for context, (cost, path) in list(states.items()):
+                    if context != edge:
+                        found = (cost - self.rows[context][EDGE], (path, " "))
+                        if edge not in states or _better(found, states[edge]):
+                            states[edge] = found
+                continue
             if sign in SEPARATORS:
                 continue
             plain = "a" <= sign <= "z"
-            arcs = [] if plain else [("", DROP_COST)]
+            outside = sign in EDGES and not first < i < last
+            arcs = [] if plain else [("", DROP_COST if not outside else edge_cost if sign in LEET else 0.0)]
             for letter in sign if plain else LEET.get(sign, ""):
                 cost = 0.0 if plain else SIGN_COST
                 arcs.append((letter, cost + (0.0 if n == 1 else DOUBLE_COST if n == 2 else REPEAT_COST)))
                 if n > 1:
                     arcs.append((letter * 2, cost + (REPEAT_COST if n > 2 else 0.0)))
-            reached: dict[int, tuple[float, str]] = {}
-            for context, (cost, word) in states.items():
+            reached: dict[int, tuple[float, tuple]] = {}
+            for context, (cost, path) in states.items():
                 for letters, extra in arcs:
                     at, c = context, cost + extra
                     for letter in letters:
                         k = ord(letter) - 97
                         c -= self.rows[at][k]
                         at = at % (ALPHABET * ALPHABET) * ALPHABET + k
-                    found = (c, word + letters)
-                    if at not in reached or found < reached[at]:
+                    found = (c, (path, letters) if letters else path)
+                    if at not in reached or _better(found, reached[at]):
                         reached[at] = found
-            states = dict(sorted(reached.items(), key=lambda s: s[1])[:BEAM]) if len(reached) > BEAM else reached
-        return min((c - self.rows[at][EDGE], word) for at, (c, word) in states.items())[1]
+            states = reached
+        # after an edge there is nothing left to end
+        ends = [(c if at == edge and path else c - self.rows[at][EDGE], path) for at, (c, path) in states.items()]
+        best = ends[0]
+        for found in ends[1:]:
+            if _better(found, best):
+                best = found
+        return _spelled(best[1]).strip()
+
+
+def _spelled(path: tuple) -> str:
+    parts = []
+    while path:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts))
+
+
+def _better(a: tuple[float, tuple], b: tuple[float, tuple]) -> bool:
+    return a[0] < b[0] or (a[0] == b[0] and _spelled(a[1]) < _spelled(b[1]))
 
 
 def restored(written: str, model: CharacterModel) -> str:
-    """The word meant by a written word: itself, unless signs, repeats or separators disguise it."""
+    """The word meant by a written word: itself, unless signs, repeats or separators disguise it.
+
+    Signs with blanks between them may mean several words, which stand one blank apart.
+    """
     core = core_of(written)
-    if not core:
-        return ""
+    whole = core_of(written, ONLY_EDGES)
+    if not _LETTER.search(core):
+        return folded(core)
     word = folded(core)
-    return (model.decode(word) or word) if _SUSPECT.search(word) else word
+    if whole != core:
+        return model.decode(folded(whole)) or word
+    return (model.decode(word) or word) if _SUSPECT.search(word) or len(word.split()) > 1 else word
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -183,8 +223,17 @@ class Reader:
         self.model, self.wanted, self.known = model, wanted, {}
 
     def slots(self, written: str) -> tuple[int, ...]:
+        core = core_of(written)
         # accents may tell words apart that are alike without them
-        words = {restored(written, self.model), core_of(written).lower()} - {""}
+        words = {*restored(written, self.model).split(), "".join(core.lower().split())}
+        whole = core_of(written, ONLY_EDGES)
+        if whole != core and _LETTER.search(core):
+            # punctuation at the edges as nothing and as letters, whichever is likelier
+            words.update(restored(core, self.model).split(), self.model.decode(folded(whole), DROP_COST).split())
+        if " " in written:
+            # one-letter words are few in the model: a run may begin with one
+            words.update(restored(written.partition(" ")[2], self.model).split())
+        words.discard("")
         parts = [p for w in words for p in (w, *("^" + w[:n] for n in BEGINNINGS if len(w) > n))]
         slots = {zlib.crc32(p.encode("utf-8", "surrogatepass")) % SLOTS for p in parts}
         return tuple(sorted(slots if self.wanted is None else slots & self.wanted))
@@ -192,7 +241,7 @@ class Reader:
     def read(self, text: str) -> set[int]:
         low = text.lower()
         words = set(low.split())
-        words.update(m.group().replace(" ", "").replace("\t", "") for m in _SPACED.finditer(low))
+        words.update(" ".join(m.group().split()) for m in _SPACED.finditer(low) if _LETTER.search(m.group()))
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         for w in words.difference(self.known):

@@ -161,8 +161,7 @@ def test_toxicity_on_held_out_labels(spark):
     out = toxicity.op8_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
     hit = sum(r.predicted == 1 and r.toxic == 1 for r in out)
-    # about one label in ten of these has no word that other toxic texts have
-    assert hit / sum(r.toxic == 1 for r in out) > 0.85 and hit / sum(r.predicted == 1 for r in out) > 0.97
+    assert hit / sum(r.toxic == 1 for r in out) > 0.9 and hit / sum(r.predicted == 1 for r in out) > 0.97
 
 
 def test_toxicity_odd_rows(spark, docs, none):
@@ -198,3 +197,45 @@ def test_every_slot_may_carry_weight():
     rows = [np.array([k], np.int32) for k in words] + [np.array([], np.int32)] * len(words)
     weights = toxicity.fit_scorer(rows, np.repeat([1, 0], len(words)))
     assert min(weights.get(k, 0) for k in range(1800)) > 0
+
+
+def model_of(words):
+    counts = np.zeros(toxicity.ALPHABET**toxicity.ORDER)
+    for word in words:
+        s = [26, 26, 26, *(ord(c) - 97 for c in word), 26]
+        for i in range(len(s) - 3):
+            counts[((s[i] * 27 + s[i + 1]) * 27 + s[i + 2]) * 27 + s[i + 3]] += 30
+    return toxicity.CharacterModel(counts)
+
+
+def test_signs_at_the_edges_and_blanks_in_words():
+    model = model_of(["stupid", "idiot", "loser", "shit", "clown", "hello", "what", "see", "a"])
+    for written, meant in {"!diot": "idiot", "idiot!": "idiot", "|oser": "loser", "shi+": "shit", "5h!+": "shit", "(lown": "clown",
+                           "(hello)": "hello", "what!!": "what", "[!diot!]": "idiot", "a s t u p i d": "a stupid",
+                           "s t u p i d i d i o t": "stupid idiot", "st  up  id": "stupid", "(2026!)": "2026"}.items():
+        assert toxicity.restored(written, model) == meant, written
+    reader = toxicity.Reader(model)
+    stupid, idiot = reader.slots("stupid"), reader.slots("idiot")
+    for text in ("so s t u p i d i d i o t,", "s  t\tu  p i d   i d i o t", "st up id id io t", "$tupid !d!ot"):
+        assert {*stupid, *idiot} <= reader.read(text), text
+
+
+def test_decoder_keeps_all_contexts():
+    """Signs that may be nothing leave more than 12 contexts; the one needed is dear until its word ends."""
+    rng = np.random.default_rng(8)
+    rnd = random.Random(9)
+    for _ in range(6):
+        model = toxicity.CharacterModel(rng.integers(0, 2, toxicity.ALPHABET**toxicity.ORDER) * 1e6)
+        signs = "".join(rnd.sample("1234568", 7))
+
+        def least(rest, at):
+            if not rest:
+                return -model.rows[at][26], ""
+            ways = [(toxicity.DROP_COST + c, w) for c, w in [least(rest[1:], at)]]
+            for letter in toxicity.LEET[rest[0]]:
+                k = ord(letter) - 97
+                c, w = least(rest[1:], at % 729 * 27 + k)
+                ways.append((toxicity.SIGN_COST - model.rows[at][k] + c, letter + w))
+            return min(ways)
+
+        assert model.decode(signs) == least(signs, (26 * 27 + 26) * 27 + 26)[1]
