@@ -14,10 +14,10 @@ from .models import FEATURES, feature_matrix, labelled_sample, minimize, text_fe
 
 #: Exponent of a domain's share of tokens in its target weight: below 1 lifts scarce domains.
 TEMPERATURE = 0.7
-#: Rates lie between these; a document is repeated four times at most.
-LEAST_RATE, MOST_RATE = 0.0, 4.0
-#: Rounds of projected gradient at most, and the relative change of the residual that ends them.
-ROUNDS, SETTLED = 40, 1e-4
+#: Rates lie between these: the targets alone say how often a document is repeated.
+LEAST_RATE, MOST_RATE = 0.0, float("inf")
+#: The residual that ends the rounds, and how many rounds in a row that lower it by less end them too.
+SETTLED, PATIENCE = 1e-4, 5
 RIDGE = 1e-4
 
 
@@ -139,15 +139,17 @@ def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float] |
     target = want * budget
     inverse = np.linalg.pinv(gram / own.sum() + 1e-9 * np.eye(k)) / own.sum()
     steps: list[np.ndarray] = []
-    before = np.inf
-    for _ in range(ROUNDS):
+    best, mixed, taken, stalled = np.inf, own, 0, 0
+    while True:
         now = _sums(members, k, steps, least, most, gram=False)
-        miss = inverse @ (now - target)
         norm = float(np.abs(now - target).sum() / max(budget, 1.0))
-        if norm < SETTLED or before - norm < SETTLED * before:
+        stalled = 0 if norm < best * (1 - SETTLED) else stalled + 1
+        if norm < best:
+            best, mixed, taken = norm, now, len(steps)
+        if norm < SETTLED or stalled >= PATIENCE:
             break
-        steps, before = [*steps, miss], norm
-    return steps, pd.DataFrame({"domain": names, "tokens": own, "target": target, "mixed": now})
+        steps = [*steps, inverse @ (now - target)]
+    return steps[:taken], pd.DataFrame({"domain": names, "tokens": own, "target": target, "mixed": mixed})
 
 
 def with_rates(members: DataFrame, steps: list[np.ndarray], least: float = LEAST_RATE, most: float = MOST_RATE) -> DataFrame:
@@ -165,7 +167,10 @@ def with_rates(members: DataFrame, steps: list[np.ndarray], least: float = LEAST
 
 def mixed_rates(docs: DataFrame, labelled: DataFrame, of: DataFrame | None = None, least: float = LEAST_RATE,
                 most: float = MOST_RATE, weights: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
-    """(doc_id, text hash, n_words, posterior, domain, rate) of every row of ``docs``.
+    """(doc_id, text hash, n_words, posterior, rate, domain, targets) of every row of ``docs``.
+
+    ``targets`` holds, for each domain in the order of ``posterior``, its name, its target of
+    tokens and the tokens it has at the fitted rates.
 
     ``labelled`` holds (doc_id, domain); the texts it labels are found in ``of`` (by default
     ``docs``).  A null text is empty and has a posterior like any other; null and repeated ids
@@ -175,10 +180,12 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, of: DataFrame | None = Non
     domains = fit_domains(feature_matrix(sample), sample["domain"].to_numpy(str))
     narrow = docs.select("doc_id", whole_text().alias("text"))
     members = stored(memberships(narrow, domains).select("doc_id", F.xxhash64("text").alias("text_hash"), "n_words", "posterior"), "members")
-    steps, _ = fit_rates(members, domains.names, weights, budget, least, most)
+    steps, report = fit_rates(members, domains.names, weights, budget, least, most)
     names = F.array(*[F.lit(v) for v in domains.names])
     best = F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
-    return with_rates(members, steps, least, most).withColumn("domain", best)
+    targets = F.array(*[F.struct(F.lit(r.domain).alias("domain"), F.lit(float(r.target)).alias("target"), F.lit(float(r.mixed)).alias("mixed"))
+                        for r in report.itertuples()])
+    return with_rates(members, steps, least, most).withColumn("domain", best).withColumn("targets", targets)
 
 
 def repeated(docs: DataFrame, rates: DataFrame, seed: int = 1) -> DataFrame:
@@ -207,4 +214,4 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rates = mixed_rates(docs, language_and_quality(docs, table(spark, sf_dir, "labels")))
-    return rates.select("doc_id", "domain", "n_words", "posterior", "rate")
+    return rates.select("doc_id", "domain", "n_words", "posterior", "rate", "targets")

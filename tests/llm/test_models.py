@@ -239,3 +239,14 @@ def test_decoder_keeps_all_contexts():
             return min(ways)
 
         assert model.decode(signs) == least(signs, (26 * 27 + 26) * 27 + 26)[1]
+
+
+def test_scarce_domain_meets_its_target(spark):
+    """A domain of 0.1 % of the tokens beside one of 45 %, with the production parameters."""
+    rows = [(i, 100, [1.0, 0.0, 0.0] if i < 450 else [0.0, 0.0, 1.0] if i == 999 else [0.0, 1.0, 0.0]) for i in range(1000)]
+    members = spark.createDataFrame(rows, "doc_id long, n_words long, posterior array<float>").repartition(3)
+    steps, report = mixing.fit_rates(members, ["big", "bigger", "scarce"])
+    rates = {r.doc_id: r.rate for r in mixing.with_rates(members, steps).collect()}
+    assert rates[999] > 6
+    assert np.allclose(report["mixed"], report["target"], rtol=1e-2)
+    assert math.isclose(report["mixed"][2], 100 * rates[999], rel_tol=1e-6)
