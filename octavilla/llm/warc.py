@@ -107,6 +107,18 @@ def _fields(lines: bytes) -> dict[str, str]:
     return {k.decode("utf-8", "replace").lower(): v.strip().decode("utf-8", "replace") for k, v in pairs}
 
 
+def _unpacked(data: bytes) -> bytes:
+    """All members of a gzip file, one after the other; zeros after the last one are padding."""
+    parts = []
+    while data:
+        member = zlib.decompressobj(47)
+        parts.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("a gzip member of an archive is cut off")
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(parts)
+
+
 def _records(archive: bytes):
     """(headers, block) of each record; a block ends by its stated length, whatever it holds."""
     at = 0
@@ -124,7 +136,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
         for batch in batches:
             for content in batch.column("content"):
                 data = content.as_py()
-                archive = zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data
+                archive = _unpacked(data) if data[:2] == b"\x1f\x8b" else data
                 rows = []
                 for headers, block in _records(archive):
                     kind, payload, size, computed, fields = headers.get("warc-type"), None, None, None, None

@@ -91,3 +91,10 @@ def test_lone_records_and_empty_tables(spark):
     assert got["r"].requests == [] and got["r"].metadata == [] and got["r"].original is None
     path = write(spark, [])
     assert warc.transactions(warc.read_records(spark, path)).count() == 0
+
+
+def test_archive_with_a_gzip_member_per_record(spark, tmp_path):
+    records = [f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: 6\r\n\r\nid: {i:02d}\r\n\r\n".encode() for i in range(5)]
+    (tmp_path / "usual.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    got = warc.read_records(spark, str(tmp_path)).collect()
+    assert sorted((r.record_id, r.fields["id"]) for r in got) == [(f"<r{i}>", f"{i:02d}") for i in range(5)]
