@@ -248,3 +248,11 @@ def test_recall_with_long_words_and_parts(spark):
     corpus = spark.createDataFrame([("p", "superlecheentera"), ("p", "w" * 300 + "z" * 160), ("p", "ques o")], "pagina string, texto string")
     got = {r["id"]: r["cobertura"] for r in E.recall_in_corpus(items, "producto", corpus, ["pagina"], ["id"]).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 0.0}
+
+
+def test_similar_words_that_share_the_fewest_pairs(spark):
+    """Six of 23 letters left out one by one: 10 of 22 pairs are shared, and these are the commonest."""
+    long = "abcdefghijklmnopqrstuvw"
+    short = "".join(ch for ch in long if ch not in "behknq")
+    df = spark.createDataFrame([(long,), (short,)], "w string")
+    assert (long, short) in {(r["wa"], r["wb"]) for r in fuzzy.similar_words(df, df).collect()}
