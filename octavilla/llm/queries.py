@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, mixing, near_copies, packing, quality, suffixes, token_files, toxicity, warc
+from . import embeddings, fingerprints, mixing, near_copies, packing, periodic, quality, suffixes, token_files, toxicity, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc_transactions": warc.op9_warc_transactions,
     "op10_embedding_near_copies": embeddings.op10_embedding_near_copies,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
     "pipeline": _pipeline,
 }
 
