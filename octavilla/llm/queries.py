@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, mixing, near_copies, packing, periodic, quality, suffixes, token_files, toxicity, warc
+from . import (
+    contamination, embeddings, fingerprints, mixing, near_copies, packing, periodic, quality, suffixes, token_files, toxicity, warc, whitening)
 
 
 def _pipeline(spark, sf_dir):
@@ -21,7 +22,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc_transactions": warc.op9_warc_transactions,
     "op10_embedding_near_copies": embeddings.op10_embedding_near_copies,
+    "op11_benchmark_overlap": contamination.op11_benchmark_overlap,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
     "pipeline": _pipeline,
 }
 

@@ -40,7 +40,7 @@ def test_stages(spark, sf):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "repeated_passages", "mixing", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
-    assert set(queries.QUERIES) >= {"pipeline"} and sum(n.startswith("op") for n in queries.QUERIES) == 11
+    assert set(queries.QUERIES) >= {"pipeline"} and sum(n.startswith("op") for n in queries.QUERIES) == 13
 
 
 def test_stages_take_empty_documents(spark, sf):
