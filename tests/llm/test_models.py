@@ -93,6 +93,43 @@ def test_rates_meet_targets(spark):
     assert np.abs(a.T @ r - target).sum() / target.sum() < 2e-3
 
 
+@pytest.mark.parametrize("alpha", [0.05, 0.5])
+def test_rates_of_at_least_one(spark, alpha, monkeypatch):
+    """Production bounds: as near as one machine comes, in a few passes."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(alpha * np.array([8, 4, 2, 1, 1, 0.5]), 2000).astype(np.float32)
+    n = rng.integers(1, 900, len(p))
+    members = spark.createDataFrame([(i, int(w), [float(v) for v in row]) for i, (w, row) in enumerate(zip(n, p))],
+                                    "doc_id long, n_words long, posterior array<float>").repartition(4)
+    passes, tried = [], mixing._tried
+    monkeypatch.setattr(mixing, "_tried", lambda *a: passes.append(1) or tried(*a))
+    steps, report = mixing.fit_rates(members, list("abcdef"), least=1.0)
+    rates = {r.doc_id: r.rate for r in mixing.with_rates(members, steps, 1.0).collect()}
+    assert len(passes) <= 15 and min(rates.values()) == 1
+    target, p = report["target"].to_numpy(), p.astype(float)
+    mixed = (n * np.array([rates[i] for i in range(len(p))])) @ p
+    assert np.allclose(mixed, report["mixed"], rtol=1e-6)
+    # projected gradient on one machine, on the same squares
+    gram = (p * n[:, None]).T @ p + 1e-6 * n.sum() * np.eye(6)
+    inverse, r = np.linalg.inv(gram), np.ones(len(p))
+
+    def squares(r):
+        off = (n * r) @ p - target
+        return off @ inverse @ off + mixing.NEARNESS * n @ (r - 1) ** 2
+
+    for _ in range(5000):
+        r = np.maximum(r - (p @ (inverse @ ((n * r) @ p - target)) + mixing.NEARNESS * (r - 1)) / (1 + mixing.NEARNESS), 1)
+    own = squares(np.array([rates[i] for i in range(len(p))]))
+    assert own <= squares(r) * (1 + 1e-6)
+    assert own < squares(np.ones(len(p))) / 3
+
+
+def test_texts_without_blanks_count_by_length(spark):
+    docs = spark.createDataFrame([(0, "a b c"), (1, "文" * 160), (2, None), (3, "")], "doc_id long, text string")
+    labelled = spark.createDataFrame([], "doc_id long, domain string")
+    assert {r.doc_id: r.n_words for r in mixing.mixed_rates(docs, labelled).collect()} == {0: 3, 1: 10, 2: 1, 3: 1}
+
+
 def test_mixing_repeats_documents(spark, docs, none):
     labelled = spark.createDataFrame([(i, "x" if i < 60 else "y") for i in range(150)], "doc_id long, domain string")
     rates = mixing.mixed_rates(docs, labelled, least=1.0)
