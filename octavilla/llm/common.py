@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +33,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="octavilla-")
     return f"{named.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -46,18 +51,34 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 _HELD: dict = {}
 
 
-def held_by_worker(key, make: Callable):
-    """What ``make`` gives, kept by a Python worker for its later tasks of the same kind.
+def held_by_worker(key, make: Callable, of: str | None = None):
+    """What ``make`` gives, kept by a Python worker for its later tasks of the same operator.
 
-    Another key lets go of it: a worker that serves several operators in turn keeps the
-    memory of one.
+    ``of`` names the operator (by default the key does).  What another operator held is let go
+    first: a worker that serves several operators in turn keeps the memory of one.
     """
+    claim_worker(of or str(key))
     if key not in _HELD:
-        _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def claim_worker(of: str) -> None:
+    """Lets go of what another operator than ``of`` has left in this worker."""
+    if _HELD.get("of") != of:
+        _HELD.clear()
+        _HELD["of"] = of
+        release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system; the allocators would keep it for this worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column) -> Iterator[str]:
     """The texts of an Arrow column, a few at a time, so that a batch is not held twice."""
     for k in range(0, len(column), 64):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, whole_text
+from .common import bounded_sample, claim_worker, whole_text
 
 #: Slots of byte trigrams, and bins of each of the shares that describe a text's form.
 SLOTS = 2048
@@ -45,6 +45,7 @@ def _form(text: str, data: bytes) -> list[float]:
 
 def text_features(texts) -> np.ndarray:
     """A row per text: root shares of hashed byte trigrams, then one bin per share of its form."""
+    claim_worker("models")
     out = np.zeros((len(texts), FEATURES), np.float32)
     for row, text in zip(out, texts):
         data = text.encode("utf-8", "surrogatepass")

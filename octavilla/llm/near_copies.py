@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ class _Hashes(dict):
 
 
 def word_hashes(text: str) -> np.ndarray:
-    known = held_by_worker(_Hashes, _Hashes)
+    known = held_by_worker(_Hashes, _Hashes, "near_copies")
     if len(known) > MOST_WORDS:
         known.clear()
     words = text.lower().split()
@@ -74,8 +73,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / total if total else 0.0
 
 
-@lru_cache(maxsize=1)
 def _draws():
+    return held_by_worker("draws", _make_draws, "near_copies")
+
+
+def _make_draws():
     """Quantiles of Gamma(2, 1), their logarithms, and a multiplier per sample."""
     x = np.linspace(0, 40, 400_001)
     q = np.interp((np.arange(_QUANTILES) + 0.5) / _QUANTILES, 1 - (1 + x) * np.exp(-x), x)
@@ -291,14 +293,19 @@ def near_copy_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     more = stored(_verified(rest, texts, idf).filter(F.col("similarity") >= threshold).select("a", "b"), "links")
     if not more.isEmpty():
         classes = components(links.unionByName(more), "a", "b")
+    idf.unpersist()  # all that needs it has been written
     named = reps.join(classes, "node", "left").select("md5", F.coalesce("component", "node").alias("class_id"))
     return copies.join(named, "md5").select("doc_id", "class_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class, and documents without an id."""
+    """The document with the smallest id of each class, and documents without an id.
+
+    Of rows that share an id, one of each different text stays; other columns do not tell rows
+    apart.  A null text is a text of its own here.  The columns are those of ``docs``.
+    """
     kept = near_copy_classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return first.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

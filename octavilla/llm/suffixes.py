@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -21,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts_of
+from .common import held_by_worker, stored, table, texts_of
 
 LENGTH, GRAM = 400, 128
 #: Bytes of text scanned at once; a longer document is scanned in overlapping parts.
-SCAN = 2 << 20
+SCAN = 512 << 10
 #: Suffixes sorted at once, tuples processed at once, and tuples a queue holds before it goes to disk.
 RUN, CHUNK, HELD = 1 << 15, 1 << 17, 1 << 20
 
@@ -34,8 +33,11 @@ _TUPLE = np.dtype([("i", "<i4"), ("lcp", "<i4")])
 _ANCHORS = "k1 long, k2 long, gram long, text_hash long, lo long, windows int, ahead int"
 
 
-@lru_cache(maxsize=1)
 def _powers():
+    return held_by_worker(("powers", SCAN), _make_powers, "suffixes")
+
+
+def _make_powers():
     n = SCAN + LENGTH
     up = np.multiply.accumulate(np.full(n, _FACTOR, np.uint64))
     down = np.multiply.accumulate(np.full(n, pow(_FACTOR, -1, 2**64), np.uint64))

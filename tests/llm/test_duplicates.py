@@ -135,11 +135,9 @@ def passages():
 def test_repeats(spark, passages, small, monkeypatch):
     if small:  # long texts in parts, and everything that can go to disk does
         monkeypatch.setattr(suffixes, "SCAN", 1200)
-        suffixes._powers.cache_clear()
         for name, value in (("RUN", 5), ("CHUNK", 7), ("HELD", 3)):
             monkeypatch.setattr(suffixes, name, value)
         own = _in_one_process(passages)
-        suffixes._powers.cache_clear()
         assert own == [r[:3] for r in brute_repeats(passages)]
         return
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(passages)], "doc_id long, text string").repartition(4)
