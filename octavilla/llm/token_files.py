@@ -10,9 +10,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table, texts_of, whole_text
-from .tokens import encoder, in_portions
+from .common import shared_folder, table, whole_text
+from .tokens import encoder
+from .words import text_parts
 
+#: Bytes of text encoded at once.
+BYTES_AT_ONCE = 4 << 20
 _SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, tokens array<int>"
 
 
@@ -31,16 +34,16 @@ def write_token_files(docs: DataFrame, path: str, file: str, end: int, row_group
     def encode(batches):
         own, part, before = encoder(file, end), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, at = batch.column("doc_id"), 0
-            for texts in in_portions(texts_of(batch.column("text"))):
-                tokens, offsets = own.encode(texts)
-                n = len(texts)
+            ids = batch.column("doc_id")
+            for at, after, data, ends in text_parts(batch.column("text"), BYTES_AT_ONCE):
+                tokens, offsets = own.encode_texts(data, ends)
+                n = after - at
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, n), pa.array(np.full(n, part, np.int32)), pa.array(before + offsets[:-1]),
                      pa.array(np.diff(offsets).astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
-                at, before = at + n, before + int(offsets[-1])
+                before += int(offsets[-1])
 
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))

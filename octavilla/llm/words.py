@@ -71,7 +71,7 @@ def split_words(data: np.ndarray, ends: np.ndarray, inside: np.ndarray, as_byte:
     return Words(letters if as_byte is None else as_byte[letters], sizes, bounds)
 
 
-def text_parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_parts(column: pa.Array, at_once: int = AT_ONCE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, where texts begin) of some rows at a time; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -84,6 +84,6 @@ def text_parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        after = max(int(np.searchsorted(ends, ends[row] + AT_ONCE, side="right")) - 1, row + 1)
+        after = max(int(np.searchsorted(ends, ends[row] + at_once, side="right")) - 1, row + 1)
         yield row, after, data[ends[row]:ends[after]], ends[row:after + 1] - ends[row]
         row = after

@@ -18,7 +18,6 @@ FILES = {"byte_bpe_50k.json": 2, "word_bpe_49k.json": 1}
 
 def plain(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, FILES[name]]
 
 
@@ -28,7 +27,10 @@ def test_ids_are_those_of_the_tokenizer(name, most, texts, monkeypatch):
     monkeypatch.setattr(tokens, "MOST_PIECES", most)
     rnd, signs = random.Random(1), "ab Ab'sÉé \n\t  1²½٣.,!İſ文字́ \x0b\x1c\xa0\x85µª<|endoftext|>ǅßx"
     sample = ["".join(rnd.choices(signs, k=rnd.randint(0, 30))) for _ in range(800)]
-    sample += [t or "" for t in texts] + ["<|endoftext|>", "y" * 5000 + " b"]
+    sample += [t or "" for t in texts] + ["<|endoftext|>", "a<|endoftext|> b", "a <|STARTOFTEXT|>b <|EndOfText|>", "<|endoftext|", "y" * 5000 + " b"]
+    signs = "'stmdrevl \t\nxÉ1,"
+    sample += ["".join(rnd.choices(signs, k=rnd.randint(0, 12))) for _ in range(3000)]
+    rnd.shuffle(sample)
     own, expected = tokens.Encoder(public_tokenizers.path(name), FILES[name]), plain(name)
     for portion in tokens.in_portions(sample, 3000):
         ids, offsets = own.encode(portion)
