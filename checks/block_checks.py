@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from octavilla.functions import columns, geometry, names
+from octavilla.functions import block_patterns, block_text, columns, geometry, names
 from octavilla.functions.names import KeywordCatalogue
 from octavilla.operators.cut import cut_lineage
 from octavilla.operators.medians import exact_median
@@ -31,7 +31,7 @@ def check(name: str, sql: str | None = None):
 
 
 def _with(ctes: dict[str, str], sql: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes.items()) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in ctes.items()) + "\n" + sql
 
 
 BLOCKS = tpch_blocks.blocks_sql()
@@ -68,12 +68,174 @@ def _normalizer(spark, sf):
 
 # -- classification -------------------------------------------------------------------------
 
-@check("block_classification")
+# What each slot and form of a generated cell is, told from the numbers it was made of.
+_CELLS = """SELECT b.*, b.bloque % 8 AS slot, i.p % 9 AS forma, i.p, i.entero, i.cent, i.desc_, i.imp,
+    b.x + b.ancho / 2e0 AS cx, b.y + b.alto / 2e0 AS cy, CAST(i.entero || '.' || i.cent AS DOUBLE) AS ec, i.entero % 90 + 10 AS nn
+    FROM bloques b JOIN items i ON i.pagina = b.pagina AND i.pos = b.bloque // 8"""
+_NEARBY = """SELECT t.pagina, t.bloque, o.bloque AS o_bloque, o.slot, o.forma, o.p, o.entero, o.desc_, o.texto
+    FROM cel t JOIN cel o ON o.pagina = t.pagina AND o.bloque <> t.bloque
+    WHERE t.slot = 1 AND t.forma IN (1, 3, 4, 8) AND sqrt((t.cx - o.cx) * (t.cx - o.cx) + (t.cy - o.cy) * (t.cy - o.cy)) <= 220"""
+# the readings of "Antes $A": A, A with cents, and A with its first digit taken for a sign before 1
+_EARLIER = """SELECT pagina, bloque, unnest(list_filter([v, CASE WHEN v >= 100 THEN v / 100e0 END, w, CASE WHEN w >= 100 THEN w / 100e0 END],
+    lambda a: a IS NOT NULL AND a <> 0)) AS a FROM (SELECT pagina, bloque, CAST(substr(texto, 8) AS DOUBLE) AS v,
+    CASE WHEN substr(texto, 8, 1) IN ('3', '4', '7', '9') THEN CAST('1' || substr(texto, 9) AS DOUBLE) END AS w FROM cerca WHERE slot = 3) q"""
+_CONTEXT = """SELECT pagina, bloque, bool_or(slot IN (3, 4) OR slot = 1 AND forma = 6) AS fuerte,
+    bool_or(slot = 0 AND p % 4 = 1 OR slot = 6 AND texto LIKE '% pzas') AS unidad, bool_or(slot = 6 AND texto = 'Puntos') AS puntos
+    FROM cerca GROUP BY 1, 2"""
+_WHOLE = "CASE WHEN c.forma = 8 THEN c.nn WHEN c.forma = 4 AND c.texto[1] IN ('5', '6', '8') THEN TRY_CAST(substr(c.texto, 2) AS INT) END"
+_SUBTRACTED = f"""SELECT DISTINCT c.pagina, c.bloque FROM cel c JOIN antes_ a USING (pagina, bloque)
+    JOIN cerca o ON o.pagina = c.pagina AND o.bloque = c.bloque AND o.slot = 4
+    WHERE {_WHOLE} > 0 AND CAST(round(a.a * 100) AS BIGINT) - {_WHOLE} * 100 = (10 + o.desc_) * 100"""
+_PRICES = f"""SELECT c.*, CASE c.forma WHEN 0 THEN c.ec WHEN 2 THEN c.ec WHEN 5 THEN 1000 + c.entero WHEN 6 THEN c.entero
+    WHEN 1 THEN CASE WHEN v.entero AND NOT v.dividido THEN CAST(c.entero || c.cent AS DOUBLE) ELSE c.ec END
+    WHEN 3 THEN CASE WHEN c.entero % 100 <> 0 OR (x.fuerte OR x.unidad) AND NOT x.puntos THEN c.entero END
+    WHEN 4 THEN CASE WHEN c.entero >= 800 THEN CAST(c.entero % 100 || '.' || c.cent AS DOUBLE)
+        WHEN regexp_full_match(c.texto, '20[12][0-9]') THEN NULL WHEN r.bloque IS NOT NULL THEN {_WHOLE} ELSE c.ec END
+    WHEN 8 THEN CASE WHEN r.bloque IS NOT NULL OR c.alto >= 2 * m.m AND e.n >= 2 THEN c.nn
+        WHEN x.fuerte AND NOT x.puntos THEN CAST('8.' || c.nn AS DOUBLE) END END AS valor
+    FROM cel c LEFT JOIN contexto x USING (pagina, bloque) LEFT JOIN resta r USING (pagina, bloque)
+    LEFT JOIN (SELECT c.pagina, c.bloque, bool_or(a.a / 3 <= CAST(c.entero || c.cent AS DOUBLE) AND CAST(c.entero || c.cent AS DOUBLE) < a.a) AS entero,
+        bool_or(a.a / 3 <= c.ec AND c.ec < a.a) AS dividido FROM cel c JOIN antes_ a USING (pagina, bloque) GROUP BY 1, 2) v USING (pagina, bloque)
+    LEFT JOIN (SELECT pagina, median(alto) AS m FROM bloques WHERE regexp_matches(texto, '[A-Za-z]{{3}}') GROUP BY 1) m USING (pagina)
+    LEFT JOIN (SELECT pagina, count(*) AS n FROM cel WHERE slot = 1 AND forma = 8 GROUP BY 1) e USING (pagina)
+    WHERE c.slot = 1 AND c.forma <> 7"""
+_NOUN_CASE = "CASE " + " ".join(f"WHEN regexp_matches(lower(texto), '\\b{w}\\b') THEN 'cat_{w}'" for w in sorted(NOUNS, key=len, reverse=True)) + " END"
+CLASSIFIED = {**BLOCKS, "cel": _CELLS, "cerca": _NEARBY, "antes_": _EARLIER, "contexto": _CONTEXT, "resta": _SUBTRACTED, "conprecio": _PRICES,
+              "clases": f"""SELECT pagina, bloque, CASE WHEN valor IS NULL THEN 'DESCARTE' ELSE 'PRECIO' END AS tipo, texto AS texto_norm, valor,
+        CAST(NULL AS VARCHAR) AS categoria FROM conprecio WHERE confianza >= 0.15
+    UNION ALL SELECT pagina, bloque, 'PRECIO', nn || '.' || cent, CAST(nn || '.' || cent AS DOUBLE), NULL FROM cel WHERE slot = 1 AND forma = 7
+    UNION ALL SELECT pagina, bloque, CASE slot WHEN 0 THEN 'PRODUCTO' WHEN 3 THEN 'PRECIO_ANTERIOR' WHEN 4 THEN 'AHORRO'
+        WHEN 5 THEN CASE WHEN texto = '3x2' OR pagina IN (SELECT pagina FROM conprecio WHERE valor IS NOT NULL AND confianza >= 0.15
+            UNION ALL SELECT pagina FROM cel WHERE slot = 1 AND forma = 7 AND confianza >= 0.15) THEN 'PROMO' ELSE 'PRODUCTO' END
+        ELSE CASE WHEN texto = 'JULIO REGALADO' THEN 'EVENTO_PROMO' WHEN texto LIKE '% pzas' THEN 'PRODUCTO' ELSE 'DESCARTE' END END, texto,
+        CASE slot WHEN 3 THEN CAST(substr(texto, 8) AS DOUBLE) WHEN 4 THEN 10 + desc_ END, CASE WHEN slot = 0 THEN {_NOUN_CASE} END
+    FROM cel WHERE slot NOT IN (1, 2) AND confianza >= 0.15"""}
+
+
+@check("block_classification", _with(CLASSIFIED, "SELECT * FROM clases"))
 def _(spark, sf):
     return classify(tpch_blocks.blocks(spark, sf), PAGE, WORDS).select(
         "pagina", "bloque", "tipo", "texto_norm", "valor", "categoria")
 
 
+# Golden texts, one form per cell, filled with the cell's numbers: what a block is by its text alone.
+# (text, discarded, purchase condition, strong promotion, weak promotion, campaign)
+_NONE = (False, False, False, False, None)
+_DROP = (True, False, False, False, None)
+TEXT_FORMS = [
+    ("nombre || ' ' || CAST(talla AS STRING) || ' g'", *_NONE),
+    ("upper(nombre)", *_NONE),
+    ("CAST(talla % 90 + 10 AS STRING)", *_NONE),
+    ("'Leche ' || nombre", *_NONE),
+    # size and shape
+    ("substr(nombre, 1, 2)", *_DROP),
+    ("'*** --- ' || substr('!!!!!!', 1, talla % 5 + 1)", *_DROP),
+    ("'www.tienda' || CAST(talla AS STRING) || '.com'", *_DROP),
+    ("'azul ###~~ ' || CAST(talla AS STRING)", *_DROP),
+    ("'bcd fgh'", *_DROP),
+    # validity, footer, calendar, limits
+    ("'Vigencia al ' || CAST(talla AS STRING) || ' de julio'", *_DROP),
+    ("'Hasta agotar ' || CAST(entero AS STRING) || ' piezas'", *_DROP),
+    ("'Martes ' || CAST(talla % 20 + 10 AS STRING) || ' de julio'", *_DROP),
+    ("'Maximo ' || CAST(talla AS STRING) || ' piezas por cliente'", *_DROP),
+    ("'Del ' || CAST(talla % 20 + 1 AS STRING) || ' al 30 de jul'", *_DROP),
+    # stores, sizes, states
+    ("'Soriana'", *_DROP),
+    ("'Tallas: ' || CAST(entero AS STRING)", *_DROP),
+    ("CAST(entero AS STRING) || ' gb'", *_DROP),
+    ("'Jalisco'", *_DROP),
+    ("'CDMX'", *_DROP),
+    # banks and financing
+    ("'Banorte'", *_DROP),
+    ("'Meses sin intereses'", *_DROP),
+    ("'$' || CAST(entero AS STRING) || ' MN'", *_DROP),
+    ("'Banorte o Santander ' || CAST(talla AS STRING)", *_DROP),
+    # slogans, channels, loose words, covers
+    ("'Aprovecha estos ' || nombre", *_DROP),
+    ("'En línea'", *_DROP),
+    ("'Golden Hills'", *_DROP),
+    ("'OFERTAS'", *_DROP),
+    ("'Síguenos en'", *_DROP),
+    # whole-block captions
+    ("'Sólo'", *_DROP),
+    ("'Llévate más'", *_DROP),
+    ("CAST(talla AS STRING) || ' puntos'", *_DROP),
+    ("'Multi ahorro'", *_DROP),
+    ("'Precio regular'", *_DROP),
+    ("'Todos los días'", *_DROP),
+    # purchase conditions
+    ("'En compras de ' || CAST(entero AS STRING) || ' pesos o tu azul'", False, True, False, False, None),
+    ("'compras mayores a $' || CAST(entero AS STRING)", False, True, False, False, None),
+    # promotions
+    ("CAST(talla AS STRING) || ' x $' || CAST(entero AS STRING)", False, False, True, False, None),
+    ("'Compra uno y llévate otro azul'", False, False, True, False, None),
+    ("'$' || CAST(talla AS STRING) || ' por cada $' || CAST(entero AS STRING)", False, False, True, False, None),
+    ("CAST(talla AS STRING) || '% de descuento azul'", False, False, False, True, None),
+    ("'azul gratis ' || nombre", False, False, False, True, None),
+    # campaigns
+    ("'Hot Sale'", False, False, False, False, "hot_sale"),
+    ("'El Buen Fin'", False, False, False, False, "buen_fin"),
+    ("'Regreso a clases ' || split_part(nombre, ' ', 2)", False, False, False, False, "regreso_a_clases"),
+    ("'JULIO REGALADO'", False, False, False, False, "julio_regalado"),
+    ("'Navidad'", False, False, False, False, "navidad"),
+    ("'Navidad ' || nombre", *_NONE),
+    ("'Aniversario de ' || nombre || ' azul'", *_NONE),
+]
+_TEXT_FORM = f"pos % {len(TEXT_FORMS)}"
+_TEXT_CASE = "CASE " + _TEXT_FORM + " " + " ".join(f"WHEN {k} THEN {f[0]}" for k, f in enumerate(TEXT_FORMS)) + " END"
+
+
+def _text_flag(n: int) -> str:
+    holds = [str(k) for k, f in enumerate(TEXT_FORMS) if f[n]]
+    return f"{_TEXT_FORM} IN ({', '.join(holds)})"
+
+
+@check("text_kinds", _with(BLOCKS, f"""SELECT pagina, pos, {_TEXT_CASE} AS texto, {_text_flag(1)} AS descarte, {_text_flag(2)} AS condicion,
+    {_text_flag(3)} AS promo_fuerte, {_text_flag(4)} AS promo_debil, CASE {_TEXT_FORM} """ + " ".join(
+    f"WHEN {k} THEN '{f[5]}'" for k, f in enumerate(TEXT_FORMS) if f[5]) + " END AS evento FROM items"))
+def _(spark, sf):
+    rows = tpch_blocks.items(spark, sf).selectExpr("pagina", "pos", f"{_TEXT_CASE} AS texto")
+    t = block_text.clean(F.col("texto"))
+    return rows.select("pagina", "pos", "texto", block_text.is_discard(t).alias("descarte"),
+                       t.rlike(block_patterns.PURCHASE_CONDITION).alias("condicion"), block_text.strong_promotion(t).alias("promo_fuerte"),
+                       block_text.weak_promotion(t).alias("promo_debil"), block_text.campaign(t).alias("evento"))
+
+
+# Amounts in the forms they are written in, and what they are read as.
+# (text, kind, value read from entero E, cent C and size T)
+AMOUNT_FORMS = [
+    ("'Antes $' || CAST(entero AS STRING)", "antes", "entero"),
+    ("'Antes: $1,' || lpad(CAST(entero AS STRING), 3, '0')", "antes", "1000 + entero"),
+    ("'Precio anterior $' || CAST(entero AS STRING) || '.' || cent", "antes", "CAST(entero || '.' || cent AS DOUBLE)"),
+    ("'DE $1' || lpad(CAST(entero AS STRING), 3, '0') || ' A'", "antes", "(1000 + entero) / 100e0"),
+    ("'Ahorra $' || CAST(entero AS STRING)", "ahorro", "entero"),
+    ("'Ahorro $1,' || lpad(CAST(entero AS STRING), 3, '0') || '.' || cent", "ahorro", "CAST((1000 + entero) || '.' || cent AS DOUBLE)"),
+    ("'$ ' || CAST(entero AS STRING) || '.' || cent", "signo", "CAST(entero || '.' || cent AS DOUBLE)"),
+    ("'$2,' || lpad(CAST(entero AS STRING), 3, '0')", "signo", "2000 + entero"),
+    ("'S' || CAST(entero AS STRING) || cent", "signo", "CAST(entero || '.' || cent AS DOUBLE)"),
+    ("'$3O' || CAST(talla % 10 AS STRING)", "signo", "300 + talla % 10"),
+    ("'en compras mayores a $' || CAST(entero AS STRING)", "signo", "NULL"),
+    ("CAST(CASE talla % 4 WHEN 0 THEN 6 WHEN 1 THEN 9 WHEN 2 THEN 12 ELSE 18 END AS STRING) || ' MSI de $' || CAST(entero AS STRING)", "meses",
+     "CASE talla % 4 WHEN 0 THEN 6 WHEN 1 THEN 9 WHEN 2 THEN 12 ELSE 18 END"),
+    ("'7 MSI de $' || CAST(entero AS STRING)", "meses", "NULL"),
+    ("'Apartalo con $' || CAST(entero AS STRING)", "meses", "10"),
+    ("'I2 MSI'", "meses", "12"),
+]
+_AMOUNT_FORM = f"pos % {len(AMOUNT_FORMS)}"
+_AMOUNT_CASE = f"CASE {_AMOUNT_FORM} " + " ".join(f"WHEN {k} THEN {f[0]}" for k, f in enumerate(AMOUNT_FORMS)) + " END"
+_AMOUNT_KIND = f"CASE {_AMOUNT_FORM} " + " ".join(f"WHEN {k} THEN '{f[1]}'" for k, f in enumerate(AMOUNT_FORMS)) + " END"
+
+
+@check("text_amounts", _with(BLOCKS, f"""SELECT pagina, pos, {_AMOUNT_CASE} AS texto, CAST(CASE {_AMOUNT_FORM} """ + " ".join(
+    f"WHEN {k} THEN {f[2]}" for k, f in enumerate(AMOUNT_FORMS)) + " END AS DOUBLE) AS valor FROM items"))
+def _(spark, sf):
+    rows = tpch_blocks.items(spark, sf).selectExpr("pagina", "pos", f"{_AMOUNT_CASE} AS texto", f"{_AMOUNT_KIND} AS clase")
+    t, kind = block_text.clean(F.col("texto")), F.col("clase")
+    value = (F.when(kind == "antes", F.try_element_at(block_text.previous_prices(t), F.lit(1))).when(kind == "ahorro", block_text.saving(t))
+             .when(kind == "meses", block_text.months_of(t).cast("double")).otherwise(block_text.signed_price(t)["valor"]))
+    return rows.select("pagina", "pos", "texto", value.alias("valor"))
+
+
 @check("page_text_height", _with(BLOCKS, """SELECT pagina, median(alto) AS alto_texto FROM bloques
     WHERE regexp_matches(texto, '[A-Za-z]{3}') GROUP BY 1"""))
 def _(spark, sf):
@@ -142,7 +304,12 @@ def _(spark, sf):
     return pairs.withColumn("costo", columns.half_up(F.col("costo"), 6))
 
 
-@check("previous_prices")
+# the previous price of a cell lies nearest to its own price, so no two pairs share a side
+@check("previous_prices", _with({**CELLS, "pares": _PAIR, "buenos": """SELECT *, count(*) OVER (PARTITION BY pagina, bloque) AS n,
+    count(*) OVER (PARTITION BY pagina, o_bloque) AS m FROM pares WHERE tx >= 0.3 * w AND gap >= -0.6 * hmin AND gap <= 1.2 * hmax AND valor > 0
+    AND (valor_anterior - valor) / valor_anterior BETWEEN 0.03 AND 0.5
+    AND NOT coalesce(otro <> valor AND (valor_anterior - otro) / valor_anterior BETWEEN 0.03 AND 0.5, false)"""},
+    "SELECT pagina, bloque, valor_anterior FROM buenos WHERE n = 1 AND m = 1"))
 def _(spark, sf):
     blocks = _blocks(spark, sf)
     return association.match_previous_prices(_slot(spark, sf, "precios", blocks), _slot(spark, sf, "antes", blocks), PAGE)
@@ -187,7 +354,14 @@ def _(spark, sf):
     return association.choose_by_distance(prices, products, PAGE, layouts=plain)
 
 
-@check("product_by_distance")
+@check("product_by_distance", _with({**CELLS, "near": _NEAR, "al": _ALIGNED, "c": """SELECT pagina, count(*) FILTER (WHERE a AND NOT b) AS u,
+    count(*) FILTER (WHERE b AND NOT a) AS d, count(*) FILTER (WHERE a AND b) AS m FROM al GROUP BY 1""",
+    "best": """SELECT pagina, bloque, min(ROW(d, debajo, o, propia OR fila)) AS mejor, min(ROW(d, debajo, o)) FILTER (WHERE propia) AS columna,
+    min(ROW(d, debajo, o)) FILTER (WHERE propia AND NOT debajo) AS arriba FROM near GROUP BY 1, 2"""},
+    # names of this data stand above their prices, so no page takes the name aligned below
+    """SELECT p.pagina, p.bloque, CASE WHEN NOT b.mejor[4] AND b.columna IS NOT NULL THEN
+        CASE WHEN coalesce(c.m >= 3 AND c.m > c.u + c.d, false) THEN coalesce(b.arriba, b.columna) ELSE b.columna END[3] ELSE b.mejor[3] END AS producto
+    FROM precios p LEFT JOIN best b USING (pagina, bloque) LEFT JOIN c USING (pagina) WHERE NOT coalesce(c.d > c.u + c.m, false)"""))
 def _(spark, sf):
     blocks = _blocks(spark, sf)
     return association.choose_by_distance(_slot(spark, sf, "precios", blocks), _slot(spark, sf, "nombres", blocks), PAGE)

@@ -40,7 +40,7 @@ def _average(column: str, digits: int) -> str:
 
 # the first label of this list that holds
 _DATE_LABELS = """coalesce(
-    CASE WHEN least(fecha_inicio, fecha_fin) IS NULL OR fecha_inicio IS NULL OR fecha_fin IS NULL THEN 'sin_fecha' END,
+    CASE WHEN fecha_inicio IS NULL OR fecha_fin IS NULL THEN 'sin_fecha' END,
     CASE WHEN fecha_inicio > fecha_fin THEN 'fin_antes_inicio' END,
     CASE WHEN date_diff('day', fecha_inicio, CAST(scrapeado_at AS DATE)) > 365 THEN 'inicio_antiguo' END,
     CASE WHEN date_diff('day', CAST(scrapeado_at AS DATE), fecha_inicio) > 30 THEN 'inicio_futuro_vs_scrapeo' END,
@@ -106,5 +106,5 @@ def star_query(sql: str, *views: str, **extra: str) -> str:
         for need in [*_USES.get(v, []), v]:
             if need not in names:
                 names.append(need)
-    parts = [star_ctes()] + [f"{n} AS ({VIEWS[n]})" for n in names] + [f"{n} AS ({q})" for n, q in extra.items()]
+    parts = [star_ctes()] + [f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in names] + [f"{n} AS MATERIALIZED ({q})" for n, q in extra.items()]
     return "WITH " + ",\n".join(parts) + "\n" + sql

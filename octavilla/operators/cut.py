@@ -12,14 +12,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes the rows to the checkpoint folder and returns them as a fresh scan.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``: shared storage,
-    so the rows survive the loss of executors.  Where none is named a new local folder is
-    used, which is only right when driver and tasks share one machine, as in tests.
+    so the rows survive the loss of executors.  Where none is named, a local master, whose
+    driver and tasks share one machine, gets a new local folder; any other is refused.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+        if named is None and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.mkdtemp(prefix="octavilla-"), "cp"))
     return df.checkpoint(eager=True)
