@@ -16,8 +16,8 @@ from ..functions import block_text
 from ..functions.columns import half_up, same_cents, same_cents_or_both_null, sha_order
 from ..functions.names import base_text, significant_words, words_of
 from ..operators import fuzzy
+from ..operators.assignment import best_one_to_one
 from ..operators.cut import cut_lineage
-from ..operators.matching import greedy_one_to_one
 from .panels import count_where
 
 # Weights and thresholds of the judge.
@@ -96,19 +96,14 @@ def candidate_pairs(records: DataFrame, articles: DataFrame, page: list[str]) ->
         "precio_ok": F.coalesce("precio_ok", F.lit(False)), "similitud": F.coalesce("similitud", F.lit(0.0))})
     score = PRICE_WEIGHT * F.col("precio_ok").cast("double") + NAME_WEIGHT * F.col("similitud")
     return pairs.filter(F.col("precio_ok") | (F.col("similitud") >= CANDIDATE_SIMILARITY)).select(
-        *key, "precio_ok", "similitud", (-score).alias("_cost"))
+        *key, "precio_ok", "similitud", score.alias("_score"))
 
 
 def match_records(records: DataFrame, articles: DataFrame, page: list[str]) -> DataFrame:
-    """One-to-one pairs, best score first, with every verdict.
-
-    Pairs are taken by mutual best score, which gives a matching no single pair can
-    improve; its total may be lower than that of an optimal assignment.
-    """
+    """One-to-one pairs with the greatest total score of each page, with every verdict."""
     shown = records.filter("precio IS NOT NULL AND producto IS NOT NULL")
     priced = articles.filter("precio IS NOT NULL")
-    taken = greedy_one_to_one(candidate_pairs(shown, priced, page), [*page, "registro"], [*page, "id"],
-                              ["_cost", "registro", "id"]).drop("_cost")
+    taken = best_one_to_one(candidate_pairs(shown, priced, page), [*page, "registro"], [*page, "id"], "_score").drop("_score")
     left = shown.select(*page, "tienda", "registro", *[F.col(c).alias(f"r_{c}") for c in (
         "precio", "producto", "producto_texto", "categoria", "precio_anterior")])
     right = priced.select(*page, "id", *[F.col(c).alias(f"a_{c}") for c in (
