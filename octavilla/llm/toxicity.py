@@ -52,14 +52,26 @@ MOST_WORDS = 400_000
 _SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_].*[0-9@$!|+€£(¡]|[0-9@$|€£(¡].*[^\W\d_]|^(?:\w[.\-_*~']){2,}\w$")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£(¡]){1,2}(?:\s+(?:[^\W_]|[@$!|+€£(¡]){1,2}){2,}(?=\s|[.,;:?!)]|$)")
 _LETTER = re.compile(r"[^\W\d_]")
+_TRIPLE = re.compile(r"(.)\1\1")
+_BEGINS = zlib.crc32(b"^")
+
+
+def _unaccented(low: str) -> str:
+    plain = unicodedata.normalize("NFKD", low.replace("ß", "ss").replace("œ", "oe").replace("æ", "ae"))
+    return "".join(ch for ch in plain if not unicodedata.combining(ch))
+
+
+#: The same for each letter of the common Latin blocks, which have no combining marks.
+_LATIN = {k: _unaccented(chr(k)) for k in range(0x80, 0x180)}
 
 
 def folded(word: str) -> str:
     """Lower case without accents; letters of other scripts stay."""
-    if word.isascii():
-        return word.lower()
-    plain = unicodedata.normalize("NFKD", word.lower().replace("ß", "ss").replace("œ", "oe").replace("æ", "ae"))
-    return "".join(ch for ch in plain if not unicodedata.combining(ch))
+    low = word.lower()
+    if low.isascii():
+        return low
+    plain = low.translate(_LATIN)
+    return plain if plain.isascii() else _unaccented(low)
 
 
 def core_of(written: str, edges: str = EDGES) -> str:
@@ -216,6 +228,15 @@ def fit_characters(docs: DataFrame) -> CharacterModel:
     return CharacterModel(counts)
 
 
+def _may_be_spaced(words: list[str]) -> bool:
+    """Whether ``_SPACED`` can be found: two words of a letter or two, and a third one, or one that a stop ends."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.flatnonzero((size[:-2] <= 2) & (size[1:-1] <= 2))
+    if (size[first + 2] <= 2).any():
+        return True
+    return any(not words[i + 2][1:3].isalnum() for i in first.tolist())
+
+
 class Reader:
     """Feature slots of texts: restored words and their beginnings; each written word is restored once."""
 
@@ -223,6 +244,15 @@ class Reader:
         self.model, self.wanted, self.known = model, wanted, {}
 
     def slots(self, written: str) -> tuple[int, ...]:
+        plain = written.strip(ONLY_EDGES)
+        if plain.isalpha():
+            word = folded(plain)
+            if word.isalpha() and (len(set(word)) > len(word) - 2 or not _TRIPLE.search(word)):
+                return self._kept({word, plain.lower()})  # nothing to restore
+        return self._kept(self._meant(written))
+
+    def _meant(self, written: str) -> set[str]:
+        """The words that a written word may stand for."""
         core = core_of(written)
         # accents may tell words apart that are alike without them
         words = {*restored(written, self.model).split(), "".join(core.lower().split())}
@@ -234,14 +264,26 @@ class Reader:
             # one-letter words are few in the model: a run may begin with one
             words.update(restored(written.partition(" ")[2], self.model).split())
         words.discard("")
-        parts = [p for w in words for p in (w, *("^" + w[:n] for n in BEGINNINGS if len(w) > n))]
-        slots = {zlib.crc32(p.encode("utf-8", "surrogatepass")) % SLOTS for p in parts}
+        return words
+
+    def _kept(self, words: set[str]) -> tuple[int, ...]:
+        """Slots of words and of their beginnings, which are marked by a sign before them."""
+        slots = set()
+        for w in words:
+            data = w.encode("utf-8", "surrogatepass")
+            slots.add(zlib.crc32(data) % SLOTS)
+            for n in BEGINNINGS:
+                if len(w) > n:
+                    start = data[:n] if len(data) == len(w) else w[:n].encode("utf-8", "surrogatepass")
+                    slots.add(zlib.crc32(start, _BEGINS) % SLOTS)
         return tuple(sorted(slots if self.wanted is None else slots & self.wanted))
 
     def read(self, text: str) -> set[int]:
         low = text.lower()
-        words = set(low.split())
-        words.update(" ".join(m.group().split()) for m in _SPACED.finditer(low) if _LETTER.search(m.group()))
+        parts = low.split()
+        words = set(parts)
+        if _may_be_spaced(parts):
+            words.update(" ".join(m.group().split()) for m in _SPACED.finditer(low) if _LETTER.search(m.group()))
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         for w in words.difference(self.known):

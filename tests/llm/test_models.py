@@ -159,6 +159,20 @@ def test_decoding_disguised_words():
         assert toxicity.restored(written.lower(), model) == meant, written
 
 
+def test_plain_words_and_texts_take_the_short_way():
+    """What is skipped for plain words and for texts without spaced letters changes nothing."""
+    rng = random.Random(8)
+    counts = np.random.default_rng(4).integers(0, 3, toxicity.ALPHABET**toxicity.ORDER).astype(float)
+    reader = toxicity.Reader(toxicity.CharacterModel(counts))
+    signs = "abceio$@!1.,-'*)é "
+    for _ in range(4000):
+        written = "".join(rng.choices(signs[:-1], weights=[8] * 6 + [1] * 11, k=rng.randint(1, 9)))
+        assert reader.slots(written) == reader._kept(reader._meant(written)), written
+        text = " ".join("".join(rng.choices(signs, weights=[4] * 6 + [1] * 12, k=rng.choice([1, 1, 2, 2, 5]))) for _ in range(rng.randint(1, 7)))
+        if toxicity._SPACED.search(text):
+            assert toxicity._may_be_spaced(text.split()), text
+
+
 def test_decoder_finds_the_best_path():
     """Against all readings of short words."""
     rng = np.random.default_rng(4)
