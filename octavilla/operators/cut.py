@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes the rows to the checkpoint folder and returns them as a fresh scan.
+    """Writes the rows to the checkpoint folder and returns them as a fresh scan."""
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the checkpoint folder, for files that are written and read again."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``: shared storage,
-    so the rows survive the loss of executors.  Where none is named, a local master, whose
-    driver and tasks share one machine, gets a new local folder; any other is refused.
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``: shared storage, so what is
+    written there survives the loss of executors.
+
+    Where none is named, a local master, whose driver and tasks share one machine, gets a new
+    local folder; any other is refused.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if named is None and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.mkdtemp(prefix="octavilla-"), "cp"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()

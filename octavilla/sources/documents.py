@@ -35,6 +35,8 @@ RUN_DOCUMENT = (
     "codigo:struct<commit:string,cambios_sin_commit:boolean>>, integridad struct<valida:boolean>, "
     f"metricas struct<global:{_STORE},tiendas:map<string,{_STORE}>>, _corrupt string")
 
+_FOLDER = r"(?:\w+=)?([^/]+)"
+
 # list of a classified page -> kind of its blocks
 PAGE_LISTS = {
     "productos": "PRODUCTO", "precios": "PRECIO", "precios_anteriores": "PRECIO_ANTERIOR", "ahorros": "AHORRO",
@@ -51,20 +53,31 @@ def _read(spark: SparkSession, paths, schema: str) -> DataFrame:
 
 
 def _from_path(df: DataFrame) -> DataFrame:
-    """Identity from ``<source>/<store>/<flyer>/<file>`` where the document lacks it."""
-    parts = r"([^/]+)/([^/]+)/([^/]+)/[^/]+$"
+    """Identity from ``<source>/<store>/<flyer>/<file>`` where the document lacks it.
+
+    Folders may be named ``key=value``, as Spark writes them.
+    """
+    parts = rf"{_FOLDER}/{_FOLDER}/{_FOLDER}/[^/]+$"
     for i, c in enumerate(("fuente", "tienda", "folleto_id"), 1):
         df = df.withColumn(c, F.coalesce(F.nullif(c, F.lit("")), F.regexp_extract("ruta", parts, i)))
     return df
 
 
-def classified_documents(spark: SparkSession, root: str, sources=SOURCES) -> DataFrame:
+def _files_of(root: str, sources, files: str) -> str:
+    """One pattern for all sources, so that a source without a folder has no documents."""
+    return f"{root}/{files.format(source='{' + ','.join(sources) + '}')}"
+
+
+def classified_documents(spark: SparkSession, root: str, sources=SOURCES,
+                         files: str = "{source}/*/*/nlp_resultado.json") -> DataFrame:
     """Classified flyers of the production folders; unreadable ones keep ``_corrupt``."""
-    return _from_path(_read(spark, [f"{root}/{s}/*/*/nlp_resultado.json" for s in sources], CLASSIFIED_DOCUMENT))
+    return _from_path(_read(spark, _files_of(root, sources, files), CLASSIFIED_DOCUMENT))
 
 
-def block_documents(spark: SparkSession, root: str, sources=SOURCES) -> DataFrame:
-    return _from_path(_read(spark, [f"{root}/{s}/*/*/ocr_resultado.json" for s in sources], BLOCK_DOCUMENT))
+def block_documents(spark: SparkSession, root: str, sources=SOURCES,
+                    files: str = "{source}/*/*/ocr_resultado.json") -> DataFrame:
+    """Read blocks of the production folders, one document per flyer."""
+    return _from_path(_read(spark, _files_of(root, sources, files), BLOCK_DOCUMENT))
 
 
 def text_blocks(documents: DataFrame) -> DataFrame:
@@ -105,10 +118,22 @@ def classified_blocks(documents: DataFrame) -> DataFrame:
     return rows.select("fuente", "tienda", "folleto_id", "pagina", "bloque", "b.*")
 
 
-def flyer_register(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata of scraped flyers from a JSON object keyed ``source:flyer``."""
-    raw = spark.read.option("wholetext", True).text(path)
-    entries = raw.select(F.explode(F.from_json("value", f"map<string,{REGISTER_ENTRY}>")).alias("clave", "e"))
+def flyer_register(spark: SparkSession, path: str, indent: int | None = 2) -> DataFrame:
+    """Metadata of scraped flyers from a JSON object keyed ``source:flyer``.
+
+    ``indent`` is the number of blanks before an entry.  The file is cut where its entries end, so
+    many tasks read a large register: JSON strings hold no line breaks and deeper objects are
+    indented further, so such an end is found nowhere else.  A compact register is a single row,
+    as is any with ``indent`` None.  An entry that cannot be read is left out alone; a key that
+    occurs twice gives two rows.
+    """
+    ends = {"wholetext": True} if indent is None else {"lineSep": "\n" + " " * indent + "}"}
+    raw = spark.read.text(path, **ends)
+    fields = F.regexp_replace("value", r"^[\s{},]+", "")
+    # the last piece, or a register without such ends, closes its own braces
+    closed = F.col("value").rlike(r"(^|\n)\}\s*$") | ~F.contains("value", F.lit("\n"))
+    entry = F.when(closed, F.concat(F.lit("{"), fields)).otherwise(F.concat(F.lit("{"), fields, F.lit("}}")))
+    entries = raw.filter(fields != "").select(F.explode(F.from_json(entry, f"map<string,{REGISTER_ENTRY}>")).alias("clave", "e"))
     return register_rows(entries)
 
 
@@ -124,10 +149,10 @@ def register_rows(entries: DataFrame) -> DataFrame:
         F.col("e.url_folleto").alias("url_origen"))
 
 
-def ground_truth(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def ground_truth(spark: SparkSession, root: str, files: str = "*/*_contenido.json") -> tuple[DataFrame, DataFrame]:
     """Labelled articles, and page promotions as text followed by notes."""
-    docs = _read(spark, f"{root}/*/*_contenido.json", TRUTH_DOCUMENT).filter("_corrupt IS NULL")
-    pages = docs.select(F.regexp_extract("ruta", r"([^/]+)/[^/]+$", 1).alias("tienda"),
+    docs = _read(spark, f"{root}/{files}", TRUTH_DOCUMENT).filter("_corrupt IS NULL")
+    pages = docs.select(F.regexp_extract("ruta", rf"{_FOLDER}/[^/]+$", 1).alias("tienda"),
                         F.col("folleto_id").alias("folleto"), F.explode("paginas").alias("p"))
     key = ["tienda", "folleto", F.col("p.pagina").alias("pagina")]
     articles = pages.select(*key, F.inline("p.articulos")).withColumn("producto", F.coalesce("producto", F.lit("")))
