@@ -7,7 +7,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, product
 
 import numpy as np
 import pandas as pd
@@ -41,8 +41,10 @@ SLOTS = 1 << 20
 BEGINNINGS = (4, 5)
 SAMPLE = 10_000
 #: The scorer's absolute-value penalty, what it adds for a slot in one text, its factor for slots
-#: that speak against toxicity; slots that join at once, and the excess of slope that still counts.
-PENALTY, RARE, AGAINST = 1e-5, 3.0, 30.0
+#: that speak against toxicity: those of ``GRID`` that ``choose_penalties`` gives for the training rows
+#: of sf0.1.  Slots that join at once, and the excess of slope that still counts.
+PENALTIES = (3e-6, 1.0, 10.0)
+GRID = ((3e-6, 1e-5, 3e-5, 1e-4), (1.0, 3.0, 10.0), (3.0, 10.0, 30.0))
 JOINING, SETTLED = 2000, 1e-2
 #: Entries of the scorer's matrix summed at once.
 AT_ONCE = 1 << 20
@@ -296,7 +298,8 @@ def held_out(key: str) -> Column:
     return F.crc32(text.cast("binary")) % 5 == 0
 
 
-def fit_scorer(slots: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) -> dict[int, float]:
+def fit_scorer(slots: list[np.ndarray], toxic: np.ndarray, rounds: int = 300,
+               penalties: tuple[float, float, float] = PENALTIES) -> dict[int, float]:
     """Slot weights of a logistic regression with an absolute-value penalty; slot -1 is the constant.
 
     ``slots`` holds the distinct slots of each text, the sparse matrix of the regression.  Every
@@ -313,8 +316,9 @@ def fit_scorer(slots: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) ->
     in_toxic = np.bincount(slot, weights=toxic[doc], minlength=SLOTS)
     in_all = np.bincount(slot, minlength=SLOTS)
     n1, n0 = toxic.sum(), rows - toxic.sum()
-    penalty = PENALTY * (1 + RARE / np.maximum(in_all, 1))
-    penalty[in_toxic * n0 < (in_all - in_toxic) * n1] *= AGAINST
+    least, rare, against = penalties
+    penalty = least * (1 + rare / np.maximum(in_all, 1))
+    penalty[in_toxic * n0 < (in_all - in_toxic) * n1] *= against
     w, constant = np.zeros(SLOTS), float(np.log(n1 / n0))
     z, work = np.full(rows, constant), np.zeros(0, int)
     while True:
@@ -351,8 +355,8 @@ def fit_scorer(slots: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) ->
     return dict(zip(used.tolist(), w[used].tolist())) | {-1: constant}
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, model: CharacterModel) -> dict[int, float]:
-    """Learns from rows that are not held out, at most about ``SAMPLE`` of them."""
+def training_rows(docs: DataFrame, labels: DataFrame, model: CharacterModel) -> tuple[list[np.ndarray], np.ndarray]:
+    """Slots and labels of rows that are not held out, at most about ``SAMPLE`` of them."""
     rated = labels.filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id")).select("doc_id", "toxic")
     sample = F.broadcast(bounded_sample(rated, "doc_id", SAMPLE))
     texts = docs.select("doc_id", whole_text().alias("text")).join(sample, "doc_id").select("text", "toxic")
@@ -365,7 +369,33 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, model: CharacterModel) ->
                 np.array(sorted(reader.read(t)), np.int32).tobytes() for t in frame["text"]]})
 
     rows = texts.mapInPandas(read, "toxic int, slots binary").toArrow()
-    return fit_scorer([np.frombuffer(b.as_buffer(), np.int32) for b in rows["slots"]], rows["toxic"].to_numpy())
+    return [np.frombuffer(b.as_buffer(), np.int32) for b in rows["slots"]], rows["toxic"].to_numpy()
+
+
+def fold_scores(slots: list[np.ndarray], toxic: np.ndarray, penalties, folds: int = 3) -> np.ndarray:
+    """Score of each row by a model of the other folds; rows with equal slots share a fold."""
+    kinds = {b: k for k, b in enumerate(sorted({s.tobytes() for s in slots}))}
+    fold = np.array([kinds[s.tobytes()] % folds for s in slots])
+    z = np.zeros(len(slots))
+    for f in range(folds):
+        learnt = np.flatnonzero(fold != f)
+        w = fit_scorer([slots[i] for i in learnt], toxic[learnt], penalties=penalties)
+        for i in np.flatnonzero(fold == f):
+            z[i] = w[-1] + sum(w.get(int(v), 0.0) for v in slots[i])
+    return sigmoid(z)
+
+
+def choose_penalties(slots: list[np.ndarray], toxic: np.ndarray, grid=GRID) -> tuple[float, float, float]:
+    """The penalties whose predictions over folds of the training rows have the best F1; the first on a tie."""
+    def f1(penalties):
+        predicted = fold_scores(slots, toxic, penalties) >= 0.5
+        return 2 * (predicted & (toxic == 1)).sum() / max(predicted.sum() + (toxic == 1).sum(), 1)
+    return max(product(*grid), key=f1)
+
+
+def fit_on_labels(docs: DataFrame, labels: DataFrame, model: CharacterModel) -> dict[int, float]:
+    """Learns from rows that are not held out, at most about ``SAMPLE`` of them."""
+    return fit_scorer(*training_rows(docs, labels, model))
 
 
 def _model_of(log_p: np.ndarray) -> CharacterModel:

@@ -215,6 +215,22 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit / sum(r.toxic == 1 for r in out) > 0.9 and hit / sum(r.predicted == 1 for r in out) > 0.97
 
 
+def test_penalties_chosen_by_folds():
+    """Three words tell the label, and hundreds that each stand in two texts tell nothing."""
+    rng = np.random.default_rng(5)
+    toxic = np.repeat([1, 0], [60, 240])
+    slots = [np.unique(np.concatenate([[k % 3] if y else [], rng.integers(10, 250, 6), [k % 3] if rng.random() < 0.02 else []])).astype(np.int32)
+             for k, y in enumerate(toxic)]
+    grid = ((1e-4, 1e-1), (1.0,), (1.0, 10.0))
+    chosen = toxicity.choose_penalties(slots, toxic, grid)
+    assert chosen[0] == 1e-4
+    # copies of a row are scored by models that have not seen it
+    twice = toxicity.fold_scores(slots * 2, np.concatenate([toxic, toxic]), chosen)
+    assert np.allclose(twice[:300], twice[300:])
+    turned = toxicity.fold_scores(slots[::-1], toxic[::-1], chosen)[::-1]
+    assert np.allclose(turned, toxicity.fold_scores(slots, toxic, chosen), atol=1e-6)
+
+
 def test_toxicity_odd_rows(spark, docs, none):
     model = toxicity.fit_characters(docs)
     assert toxicity.fit_characters(none).log_p.shape == model.log_p.shape
