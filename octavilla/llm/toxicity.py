@@ -45,6 +45,9 @@ SAMPLE = 10_000
 #: of sf0.1.  Slots that join at once, and the excess of slope that still counts.
 PENALTIES = (3e-6, 1.0, 10.0)
 GRID = ((3e-6, 1e-5, 3e-5, 1e-4), (1.0, 3.0, 10.0), (3.0, 10.0, 30.0))
+#: Added to the log odds, as ``choose_offset`` gives it for the same rows: penalties hold odds down.
+OFFSET = 2.0
+OFFSETS = tuple(k / 2 for k in range(11))
 JOINING, SETTLED = 2000, 1e-2
 #: Entries of the scorer's matrix summed at once.
 AT_ONCE = 1 << 20
@@ -385,17 +388,24 @@ def fold_scores(slots: list[np.ndarray], toxic: np.ndarray, penalties, folds: in
     return sigmoid(z)
 
 
+def _f1(predicted: np.ndarray, toxic: np.ndarray) -> float:
+    return 2 * (predicted & (toxic == 1)).sum() / max(predicted.sum() + (toxic == 1).sum(), 1)
+
+
 def choose_penalties(slots: list[np.ndarray], toxic: np.ndarray, grid=GRID) -> tuple[float, float, float]:
     """The penalties whose predictions over folds of the training rows have the best F1; the first on a tie."""
-    def f1(penalties):
-        predicted = fold_scores(slots, toxic, penalties) >= 0.5
-        return 2 * (predicted & (toxic == 1)).sum() / max(predicted.sum() + (toxic == 1).sum(), 1)
-    return max(product(*grid), key=f1)
+    return max(product(*grid), key=lambda p: _f1(fold_scores(slots, toxic, p) >= 0.5, toxic))
+
+
+def choose_offset(scores: np.ndarray, toxic: np.ndarray, offsets=OFFSETS) -> float:
+    """The offset of the log odds of ``fold_scores`` with the best F1; the least on a tie."""
+    return max(offsets, key=lambda c: _f1(scores >= sigmoid(np.array(-c)), toxic))
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, model: CharacterModel) -> dict[int, float]:
     """Learns from rows that are not held out, at most about ``SAMPLE`` of them."""
-    return fit_scorer(*training_rows(docs, labels, model))
+    weights = fit_scorer(*training_rows(docs, labels, model))
+    return weights | {-1: weights[-1] + OFFSET} if len(weights) > 1 else weights
 
 
 def _model_of(log_p: np.ndarray) -> CharacterModel:

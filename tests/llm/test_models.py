@@ -224,6 +224,9 @@ def test_penalties_chosen_by_folds():
     grid = ((1e-4, 1e-1), (1.0,), (1.0, 10.0))
     chosen = toxicity.choose_penalties(slots, toxic, grid)
     assert chosen[0] == 1e-4
+    scores = np.array([0.9, 0.3, 0.2, 0.02])
+    assert toxicity.choose_offset(scores, np.array([1, 1, 1, 0])) == 1.5
+    assert toxicity.choose_offset(scores, np.array([1, 0, 0, 0])) == 0
     # copies of a row are scored by models that have not seen it
     twice = toxicity.fold_scores(slots * 2, np.concatenate([toxic, toxic]), chosen)
     assert np.allclose(twice[:300], twice[300:])
