@@ -19,7 +19,7 @@ from .common import rnd, star_of, star_query
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLYER = ["fuente", "tienda", "folleto_id"]
-FILES = "fuente={source}/*/*/*.json"
+FILES = "fuente={source}/*/*/*.json.gz"
 
 
 def check(name: str, sql: str):
@@ -42,14 +42,15 @@ def _in_flyers(blocks):
 
 
 def _write_documents(docs, path: str) -> None:
-    """One file per flyer, in folders of its source, store and id."""
-    docs.repartition(*FLYER).write.partitionBy(*FLYER).json(path)
+    """One gzipped file per flyer, in folders of its source, store and id; ``docs`` are grouped by these."""
+    docs.write.partitionBy(*FLYER).json(path, compression="gzip")
 
 
 # -- read blocks -----------------------------------------------------------------------------
 
 def _block_documents(spark, sf):
-    blocks = _in_flyers(tpch_blocks.blocks(spark, sf))
+    # dealt by flyer once: pages and flyers are both grouped there
+    blocks = _in_flyers(tpch_blocks.blocks(spark, sf)).repartition(*FLYER)
     block = F.struct("bloque", "texto", "confianza", F.struct("x", "y", "ancho", "alto").alias("bbox"))
     pages = blocks.groupBy(*FLYER, "pagina", "archivo", "ancho_pagina").agg(
         F.max("confianza").alias("confianza_prom"), F.sort_array(F.collect_list(block)).alias("bloques"))
@@ -101,7 +102,7 @@ def _classified(spark, sf):
     CASE WHEN tipo = 'PRECIO_ANTERIOR' THEN numero + 1 END AS otro, CASE WHEN tipo = 'PRODUCTO' THEN lower(texto) END AS categoria,
     x, y, ancho, alto FROM fk"""))
 def _(spark, sf):
-    pages = writers.nested_pages(_classified(spark, sf), FLYER)
+    pages = writers.nested_pages(_classified(spark, sf).repartition(*FLYER), FLYER)
     page = F.struct("pagina", *documents.PAGE_LISTS)
     docs = pages.groupBy(*FLYER).agg(F.count(F.lit(1)).cast("int").alias("total_paginas"), F.collect_list(page).alias("paginas"))
     path = shared_folder(spark, "classified")

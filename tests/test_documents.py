@@ -82,3 +82,21 @@ def test_written_documents_hold_whole_flyers(spark):
     assert docs.filter("_corrupt IS NOT NULL OR size(paginas) <> total_paginas").count() == 0
     per = docs.groupBy("fuente", "tienda", "folleto_id").agg(F.count(F.lit(1)).alias("n"))
     assert per.filter("n <> 1").count() == 0
+
+
+def test_classified_flyers_are_written_compressed_by_one_shuffle(spark):
+    import glob
+
+    from octavilla.sources import writers
+    rows = [(f, t, str(p // 4), f"pagina_{p}.webp", b, "PRECIO" if b % 2 else "PRODUCTO", f"texto {p} {b}", 0.5, float(b), [], None, 1, 2, 3, 4)
+            for p in range(20) for b in range(5) for f, t in (("tiendeo", "a"), ("ofertomat", None))]
+    kinds = spark.createDataFrame(rows, "fuente string, tienda string, folleto_id string, pagina string, bloque int, tipo string, texto_norm string, "
+                                  "confianza double, valor double, candidatos array<double>, categoria string, x int, y int, ancho int, alto int")
+    path = shared_folder(spark, "written")
+    writers.write_classified(kinds, path)
+    files = glob.glob(f"{path.removeprefix('file:')}/*/*/part-*")
+    assert files and all(f.endswith(".json.gz") for f in files)
+    back = spark.read.json(path)
+    assert back.count() == 40
+    found = back.selectExpr("folleto_id", "pagina", "inline(precios)").groupBy("pagina").agg({"texto": "count"}).collect()
+    assert len(found) == 20 and all(n == 4 for _, n in found)
