@@ -101,7 +101,11 @@ def upsert_pages(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def replace_children(existing: DataFrame, incoming: DataFrame, flyers: DataFrame, key: str = "folleto_id") -> DataFrame:
-    """Rows of reloaded flyers are all replaced; the others stay."""
+    """Rows of reloaded flyers are all replaced; the others stay.
+
+    Few flyers are broadcast.  Where a large part of them is reloaded, give ``flyers`` with the hint
+    ``shuffle_hash``: a task then holds its distinct flyers only, while rows of both sides pass by unsorted.
+    """
     return existing.join(flyers.select(key).distinct(), key, "left_anti").unionByName(incoming)
 
 
