@@ -42,7 +42,8 @@ def parquet_upsert(table: str, merge: Callable[[DataFrame, DataFrame], DataFrame
 
     A batch reads and swaps only the buckets of its keys; the others are not touched.  Of
     several versions the newest is merged, and one older than the table's own is left out where
-    the table keeps ``landed_at``.  So a batch that comes again, a new stream checkpoint and
+    the table keeps ``landed_at``; of equal times the other columns that both have decide, as in
+    :func:`newest`.  So a batch that comes again, a new stream checkpoint and
     files in any order give the same table.  ``buckets`` is fixed when the table is made; a
     large bucket is written by many tasks.
     """
@@ -60,8 +61,10 @@ def parquet_upsert(table: str, merge: Callable[[DataFrame, DataFrame], DataFrame
                 raise
             old = empty(spark)
         if "landed_at" in old.columns:
-            kept = old.select(*keys, F.col("landed_at").alias("_at"))
-            rows = rows.join(kept, list(keys), "left").filter("_at IS NULL OR landed_at >= _at").drop("_at")
+            place = ["landed_at", *[c for c in rows.columns if c in old.columns and c not in (*keys, "landed_at")]]
+            kept = old.select(*keys, F.struct(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in place]).alias("_at"))
+            later = F.col("_at.landed_at").isNull() | (F.struct(*place) >= F.col("_at"))
+            rows = rows.join(kept, list(keys), "left").filter(later).drop("_at")
         merged = merge(old, rows).withColumn("cubeta", bucket)
         merged.hint("rebalance", "cubeta").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("cubeta").parquet(table)
