@@ -30,8 +30,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes byte strings that occur more than once; every document stays with what is left."""
-    return remove_repeats(spark, docs, sf_dir)
+    """Removes strings of 400 bytes and passages of over 50 words that occur more than once; every document stays with what is left."""
+    return remove_repeats(spark, docs, sf_dir, passages=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

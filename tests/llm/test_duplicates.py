@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +184,72 @@ def test_repeats_odd_rows(spark, docs, none):
                            for r, b in zip(rows, brute_repeats([r.text for r in rows])))
 
 
+def brute_passages(texts):
+    """What is left without repeated strings of LENGTH bytes and repeated runs of WORDS words."""
+    size, data = suffixes.WORDS, [(t or "").encode() for t in texts]
+    words = [[(m.group(), m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in data]
+    runs = [[tuple(x[0] for x in w[k:k + size]) for k in range(len(w) - size + 1)] for w in words]
+    seen = Counter(r for some in runs for r in some)
+    strings = Counter(b[i:i + suffixes.LENGTH] for b in data for i in range(len(b) - suffixes.LENGTH + 1))
+    out = []
+    for b, w, mine in zip(data, words, runs):
+        gone = np.zeros(len(b), bool)
+        for k, run in enumerate(mine):
+            if seen[run] > 1:
+                gone[w[k][1]:w[k + size - 1][2]] = True
+        for i in range(len(b) - suffixes.LENGTH + 1):
+            if strings[b[i:i + suffixes.LENGTH]] > 1:
+                gone[i:i + suffixes.LENGTH] = True
+        out.append(bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore"))
+    return out
+
+
+@pytest.fixture
+def short_passages():
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdeé", k=rnd.randint(1, 6))) for _ in range(900)]
+    prose = lambda n: [rnd.choice(words) for _ in range(n)]
+    planted, other, fifty = prose(56), prose(70), prose(50)
+    out = [" ".join(prose(20) + planted + prose(rnd.randint(0, 40))) for _ in range(9)]
+    out += [" ".join(prose(7) + planted[rnd.randint(0, 9):] + prose(5) + other[:rnd.randint(49, 60)]) for _ in range(9)]
+    out += ["\n ".join(prose(3) + planted) + "\t", " ".join(planted), " ".join(prose(9) + planted[:51])]
+    out += [" ".join(prose(15) + fifty + prose(15)) for _ in range(4)] + [" ".join(prose(120)) for _ in range(5)]
+    out += [" ".join(other[:30] + prose(1) + other[30:]), " ".join(prose(3) + other), out[0], "ab " * 52, "cd " * 51]
+    return out + ["x" * 401, "x" * 400, "", None, "é" * 300, " \n", " ".join(prose(400) + planted + prose(400))]
+
+
+def test_short_passages(spark, short_passages):
+    planted = short_passages[19]
+    assert len(planted.encode()) < suffixes.LENGTH and len(planted.split()) > 50
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(short_passages)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.repeated_passages(spark, docs, "").collect()
+    got = {r.doc_id: (r.text or "", r.n_chars or 0) for r in out}
+    assert len(out) == len(rows)
+    for i, expected in enumerate(brute_passages(short_passages)):
+        assert got[i] == (expected, len(expected)), (i, short_passages[i])
+
+
+def test_parts_of_words(short_passages, monkeypatch):
+    whole = [np.concatenate([np.zeros(0, np.uint64), *suffixes._word_hashes((t or "").encode())]) for t in short_passages]
+    monkeypatch.setattr(suffixes, "SCAN", 100)
+    for t, words in zip(short_passages, whole):
+        places = []
+        for base, part in suffixes._word_parts((t or "").encode()):
+            assert (part == words[base:base + len(part)]).all()
+            places += range(base, base + len(part) - suffixes.WORDS + 1)
+        assert places == [*range(len(words) - suffixes.WORDS + 1)]
+
+
+@pytest.mark.parametrize("many", [1, 3])
+def test_kinds_with_many_copies(spark, passages, short_passages, many, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY", many)
+    texts = passages[:25] + short_passages
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    left = {r.doc_id: r.text or "" for r in suffixes.remove_repeats(spark, docs, "", passages=True).collect()}
+    assert [left[i] for i in range(len(texts))] == brute_passages(texts)
+
+
 # ---- fingerprints -----------------------------------------------------------------------------
 
 
