@@ -37,8 +37,8 @@ _FLYER = [("fuente", "CASE WHEN pagina % 2 = 0 THEN 'tiendeo' ELSE 'ofertomat' E
 BLOCKS = {**tpch_blocks.blocks_sql(), "fb": "SELECT b.*, " + ", ".join(f"{e} AS {n}" for n, e in _FLYER) + " FROM bloques b"}
 
 
-def _in_flyers(blocks):
-    return blocks.selectExpr("*", *[f"{e} AS {n}" for n, e in _FLYER])
+# blocks are made where those of their flyer are, so documents and pages are nested without dealing them again
+_DEALT = {"deal": FLYER, "told": dict(_FLYER)}
 
 
 def _write_documents(docs, path: str) -> None:
@@ -49,8 +49,7 @@ def _write_documents(docs, path: str) -> None:
 # -- read blocks -----------------------------------------------------------------------------
 
 def _block_documents(spark, sf):
-    # dealt by flyer once: pages and flyers are both grouped there
-    blocks = _in_flyers(tpch_blocks.blocks(spark, sf)).repartition(*FLYER)
+    blocks = tpch_blocks.blocks(spark, sf, **_DEALT)
     block = F.struct("bloque", "texto", "confianza", F.struct("x", "y", "ancho", "alto").alias("bbox"))
     pages = blocks.groupBy(*FLYER, "pagina", "archivo", "ancho_pagina").agg(
         F.max("confianza").alias("confianza_prom"), F.sort_array(F.collect_list(block)).alias("bloques"))
@@ -88,7 +87,7 @@ CLASSIFIED = {**BLOCKS, "fk": f"SELECT *, {_KIND} AS tipo, {_VALUE} AS numero FR
 
 
 def _classified(spark, sf):
-    blocks = _in_flyers(_kinds(spark, sf))
+    blocks = _kinds(spark, sf, **_DEALT)
     value = F.regexp_extract("texto", "[0-9]+", 0).try_cast("double")
     return blocks.drop("pagina").withColumnRenamed("archivo", "pagina").withColumns({
         "texto_norm": F.col("texto"), "valor": value, "candidatos": F.array_compact(F.array(value, value + 1)),
@@ -102,7 +101,7 @@ def _classified(spark, sf):
     CASE WHEN tipo = 'PRECIO_ANTERIOR' THEN numero + 1 END AS otro, CASE WHEN tipo = 'PRODUCTO' THEN lower(texto) END AS categoria,
     x, y, ancho, alto FROM fk"""))
 def _(spark, sf):
-    pages = writers.nested_pages(_classified(spark, sf).repartition(*FLYER), FLYER)
+    pages = writers.nested_pages(_classified(spark, sf), FLYER)
     page = F.struct("pagina", *documents.PAGE_LISTS)
     docs = pages.groupBy(*FLYER).agg(F.count(F.lit(1)).cast("int").alias("total_paginas"), F.collect_list(page).alias("paginas"))
     path = shared_folder(spark, "classified")
