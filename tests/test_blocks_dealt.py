@@ -24,3 +24,12 @@ def test_blocks_of_a_group_are_dealt_once(spark, tmp_path):
     plan = pages._jdf.queryExecution().executedPlan().toString()
     # the rows of the two tables that meet, and the cells once: blocks were dealt again to be nested
     assert len(re.findall(r"Exchange hashpartitioning\((?!l_partkey|p_partkey)", plan)) == 1
+
+
+def test_cells_are_dealt_before_texts_are_made(spark, tmp_path):
+    _tables(spark, str(tmp_path))
+    out = tpch_blocks.items(spark, str(tmp_path))
+    assert out.columns == [n for n, _ in tpch_blocks.ITEM_COLUMNS]
+    below = out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert len(below) == 2 and "tienda_" in below[0] and "tienda_" not in below[1]
+    assert out.groupBy("pagina", "pos").count().filter("count > 1").isEmpty()
